@@ -17,6 +17,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for work that is heavy per row; large inputs have them already and pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder of ``spark.checkpoint.dir``; a local folder only where none is set."""
     spark = df.sparkSession
