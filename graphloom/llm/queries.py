@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import encoding, leakage, tokenize
+from graphloom.llm import encoding, leakage, lookalike, tokenize
 from graphloom.session import table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "mem_passages")
+    texts = lookalike.values_of(passages, "corpus_id", "passage_id", F.col("normalized_text"), "normalized_text")
+    mentions = passages.select("corpus_id", F.explode("entity_mentions").alias("mention"))
+    return texts.unionByName(lookalike.values_of(mentions, "corpus_id", None, F.col("mention"), "entity_mentions"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_texts(spark, sf_dir)).select(F.col("grp").alias("corpus_id"), F.col("field").alias("field_name"), "key_a", "key_b")
+
+
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling that has an equal-looking other one, with the canonical form of its class."""
+    members = lookalike.canonical_members(_texts(spark, sf_dir)).filter("variants > 1")
+    return members.select(F.col("grp").alias("corpus_id"), F.col("field").alias("field_name"), "value", "canonical", "variants")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -37,5 +54,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
