@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import encoding, leakage, lookalike, tokenize
+from graphloom.llm import encoding, language, leakage, lookalike, tokenize
 from graphloom.session import table
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of each one-language stretch of every passage."""
+    passages, samples = table(spark, sf_dir, "mem_passages"), table(spark, sf_dir, "lang_samples")
+    found = language.detect(passages, samples, ["corpus_id", "passage_id"], F.col("normalized_text"), F.col("metadata.language"))
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(p2_segments(spark, sf_dir), ["corpus_id", "passage_id"])
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "mem_passages")
     texts = lookalike.values_of(passages, "corpus_id", "passage_id", F.col("normalized_text"), "normalized_text")
@@ -54,5 +65,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
