@@ -16,6 +16,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import checkpoint
+
 COLLATION = "UNICODE"  # tertiary strength: accents and case count
 
 #: Letters of other scripts that stand for Latin ones (fixed values).
@@ -57,6 +59,7 @@ INVISIBLE = (
     r"[­͏؜ᅟᅠ឴឵᠋-᠏​‎‏‪-‮⁠-⁯ㅤ︀-︎﻿ﾠ\x{E0000}-\x{E0FFF}"
     r"\x{00}-\x{08}\x{0E}-\x{1F}\x{7F}]|" + _JOINED + r"[‌‍️]"
 )
+VISIBLE = r"[^\p{Z}\p{Cc}\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]"
 SPACES = r"[\p{Zs}&&[^\x{1680}]]"
 
 
@@ -141,7 +144,7 @@ def with_look(df: DataFrame, value: str = "value") -> DataFrame:
 def values_of(df: DataFrame, group: str, key: str | None, value: Column, field: str) -> DataFrame:
     """Distinct ``grp, field, key, value`` of one text field; without a key column the value is its own key."""
     out = df.select(F.col(group).alias("grp"), F.lit(field).alias("field"), (F.col(key) if key else F.lit(None).cast("string")).alias("key"), value.alias("value"))
-    out = out.filter(F.col("value").isNotNull() & F.col("grp").isNotNull())
+    out = out.filter(F.col("value").rlike(VISIBLE) & F.col("grp").isNotNull())
     out = out.withColumn("key", F.col("key" if key else "value"))
     return out.filter(F.col("key").isNotNull()).distinct()
 
@@ -154,7 +157,8 @@ def canonical_members(values: DataFrame) -> DataFrame:
     one for all. ``variants`` counts the different spellings of the class. Texts
     without any visible character have no look and form no class.
     """
-    mapped = with_look(values.select("grp", "field", "value").distinct()).filter(F.col("look").rlike(r"(?U)\S"))
+    # mapped once, used twice: for the classes and for joining their members back
+    mapped = checkpoint(with_look(values.select("grp", "field", "value").distinct()))
     mapped = mapped.withColumn("odd", (F.col("look") != F.col("value")).cast("int")).withColumn("look", F.collate("look", COLLATION))
     classes = mapped.groupBy("grp", "field", "look").agg(F.min(F.struct("odd", "value"))["value"].alias("canonical"), F.count(F.lit(1)).alias("variants"))
     return mapped.join(classes, ["grp", "field", "look"]).select("grp", "field", "value", "canonical", "variants")
