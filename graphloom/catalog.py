@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from graphloom.operators import queries as problems
+from graphloom.plans import queries as cypher
+
+_MODULES = (problems, cypher)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(problems.SQL)
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
