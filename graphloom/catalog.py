@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from graphloom.operators import queries as problems
+from graphloom.operators import store_queries
 from graphloom.plans import queries as cypher
 
-_MODULES = (problems, cypher)
+_MODULES = (problems, cypher, store_queries)
 
 
 def queries() -> dict:
