@@ -7,8 +7,12 @@ source; an iteration is one join and one aggregation that also yields the change
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from graphloom.session import checkpoint
 
 MAX_ITERATIONS, MAX_SEEDS = 128, 512
 CHECKPOINT_EVERY = 5
+#: Up to so many edges the iterations run over arrays in one task (about 0.5 GB); beyond, as joins over the cluster.
+LOCAL_EDGES = 2_500_000
 
 
 @dataclass
@@ -56,19 +62,61 @@ def teleport(edges: DataFrame, seeds: dict[str, float]) -> DataFrame:
     return nodes.select("node_id", F.lit(1.0 / n if n else 0.0).alias("score"))
 
 
+def _in_one_task(shares: DataFrame, jump: dict[str, float] | None, p: float, epsilon: float, max_iterations: int) -> DataFrame:
+    """All iterations over adjacency arrays: node_id, score and in every row iterations and l1_delta."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)  # at most LOCAL_EDGES rows, counted before
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        m = t.num_rows
+        code, names = pd.factorize(np.concatenate([t.column(c).to_pandas().to_numpy() for c in ("src", "dst")]))
+        src, dst, share, n = code[:m], code[m:], t.column("share").to_numpy(), len(names)
+        if jump is None:
+            start = np.full(n, 1.0 / n)
+        else:
+            start = np.zeros(n)
+            at = pd.Index(names).get_indexer(list(jump))
+            start[at[at >= 0]] = np.array(list(jump.values()))[at >= 0]
+        score, delta, done = start, 0.0, 0
+        for done in range(1, max_iterations + 1):
+            new = np.bincount(dst, score[src] * share * (1.0 - p), minlength=n) + p * start
+            delta = float(np.abs(new - score).sum())
+            score = new
+            if delta < epsilon:
+                break
+        for i in range(0, n, 100_000):
+            k = slice(i, min(i + 100_000, n))
+            size = k.stop - k.start
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[k], pa.string()), pa.array(score[k]), pa.array(np.full(size, done), pa.int32()), pa.array(np.full(size, delta))],
+                names=["node_id", "score", "iterations", "l1_delta"],
+            )
+
+    return shares.coalesce(1).mapInArrow(run, "node_id string, score double, iterations int, l1_delta double")
+
+
 def personalised_pagerank(
-    edges: DataFrame, seeds: dict[str, float], teleport_probability: float = 0.15, epsilon: float | None = 1e-9, max_iterations: int = 32, hub_threshold: int = 100
+    edges: DataFrame, seeds: dict[str, float], teleport_probability: float = 0.15, epsilon: float | None = 1e-9, max_iterations: int = 32, hub_threshold: int = 100, local_edges: int = LOCAL_EDGES
 ) -> Ranking:
     """Iterate until the L1 change is below ``epsilon`` or ``max_iterations`` are done.
 
     ``edges``: source_node_id, target_node_id, weight of one corpus; repeated edges
-    count again. Mass of sinks and of damped hubs is lost. ``epsilon=None`` runs
+    count again. Up to ``local_edges`` edges run in one task, more as joins. Mass of sinks and of damped hubs is lost. ``epsilon=None`` runs
     exactly ``max_iterations`` as one plan. No edges: no scores, converged.
     """
     if max_iterations > MAX_ITERATIONS or len(seeds) > MAX_SEEDS:
         raise GraphError("RESOURCE_LIMIT", "too many iterations or seeds")
     jump = teleport(edges, seeds)
-    shares = checkpoint(prepare(edges, hub_threshold))
+    # partitioned by source once: no iteration moves the edges again
+    shares = checkpoint(prepare(edges, hub_threshold).repartition("src"))
+    if epsilon is not None and max_iterations and shares.limit(local_edges + 1).count() <= local_edges:
+        known = None if jump.count() > MAX_SEEDS else {r["node_id"]: r["score"] for r in jump.limit(MAX_SEEDS).collect()}
+        out = _in_one_task(shares, known, teleport_probability, epsilon, max_iterations).persist()
+        last = out.select("iterations", "l1_delta").first()
+        scores = out.filter("score > 0").select("node_id", "score")
+        return Ranking(scores, last[0], last[1] < epsilon, last[1]) if last else Ranking(scores, 0, True, 0.0)
     kept = 1.0 - teleport_probability
     restart = jump.select("node_id", (F.col("score") * teleport_probability).alias("new"))
     scores, delta, done = jump, 0.0, 0

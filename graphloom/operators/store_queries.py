@@ -150,13 +150,13 @@ def fact_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
-    edges = fixtures.m_edges(spark, d)
+    edges = fixtures.m_edges(spark, d).filter("weight > 0")
     ranking = pagerank.personalised_pagerank(edges, SEEDS, 0.15, None, 3, 100)
     return ranking.scores.select("node_id", F.round("score", 9).alias("score")).filter("score > 0")
 
 
 def ppr_converged(spark: SparkSession, d: str) -> DataFrame:
-    ranking = pagerank.personalised_pagerank(fixtures.m_edges(spark, d), SEEDS, 0.15, 1e-6, 64, 100)
+    ranking = pagerank.personalised_pagerank(fixtures.m_edges(spark, d).filter("weight > 0"), SEEDS, 0.15, 1e-6, 64, 100)
     best = [pagerank.top_nodes(ranking.scores, p, n).withColumn("kind", F.lit(p.rstrip(":"))) for p, n in (("passage:", 20), ("fact:", 20))]
     return best[0].unionByName(best[1]).withColumn("iterations", F.lit(ranking.iterations)).withColumn("converged", F.lit(ranking.converged))
 
@@ -317,9 +317,10 @@ _COUNT = "CAST((length(lower(text)) - length(replace(lower(text), '{t}', ''))) /
 _PPR_HEAD = (
     with_views("m_edges").rstrip()
     + """,
-deg AS (SELECT node, sum(w) AS o, count(*) AS n FROM (SELECT source_node_id AS node, weight AS w FROM m_edges UNION ALL SELECT target_node_id, NULL FROM m_edges) GROUP BY node),
+pos AS (SELECT * FROM m_edges WHERE weight > 0),
+deg AS (SELECT node, sum(w) AS o, count(*) AS n FROM (SELECT source_node_id AS node, weight AS w FROM pos UNION ALL SELECT target_node_id, NULL FROM pos) GROUP BY node),
 sh AS (SELECT e.source_node_id AS src, e.target_node_id AS dst, e.weight / a.o * CASE WHEN b.node LIKE 'schema:%' AND b.n > 100 THEN 1.0 / log2(b.n + 2) ELSE CAST(1 AS DOUBLE) END AS share
-       FROM m_edges e JOIN deg a ON a.node = e.source_node_id JOIN deg b ON b.node = e.target_node_id),
+       FROM pos e JOIN deg a ON a.node = e.source_node_id JOIN deg b ON b.node = e.target_node_id),
 seed AS (SELECT * FROM (VALUES ('entity:user 1', CAST(0.9 AS DOUBLE)), ('entity:key 7', CAST(0.5 AS DOUBLE)), ('entity:nobody', CAST(1 AS DOUBLE))) t(node, s) WHERE node IN (SELECT node FROM deg)),
 s0 AS (SELECT node, s / (SELECT sum(s) FROM seed) AS score FROM seed)"""
 )
