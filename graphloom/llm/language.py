@@ -243,9 +243,13 @@ def detect(passages: DataFrame, samples: DataFrame, keys: list[str], text: Colum
     probability averaged over the stretch. Null and empty texts and texts without
     words (figures alone) give no row. Names and remarks of one or two words make
     no stretch. Long texts are read whole; repeated rows repeat; extra columns are
-    not read. Training uses at most ``MAX_SAMPLES`` labelled samples.
+    not read. Training uses at most ``MAX_SAMPLES`` labelled samples; without any, no
+    stretch is recognised.
     """
-    model = fit([(r[0], r[1]) for r in samples.select(sample_lang, sample_text).limit(MAX_SAMPLES).collect()])
+    labelled = [(r[0], r[1]) for r in samples.select(sample_lang, sample_text).limit(MAX_SAMPLES).collect()]
+    model = fit(labelled) if any(l in LANGUAGES and t for l, t in labelled) else None
+    if model is None:  # nothing to learn from: nothing is recognised
+        passages, model = passages.limit(0), LanguageModel(np.zeros((1 << BITS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES)), np.ones(1 << BITS))
     shared = passages.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.idf, model.temperature))
     names = [f"k{i}" for i in range(len(keys))]
     picked = passages.select(*[F.col(c).cast("string").alias(k) for c, k in zip(keys, names)], label_language(label).alias("label_lang"), text.alias("text")).filter("text IS NOT NULL")
