@@ -115,7 +115,7 @@ def upsert(old: DataFrame, delta: DataFrame, key: Sequence[str], order: str | No
     if order is not None:
         names = [c for c in delta.columns if c != order]
         delta = delta.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("_x")).select("_x.*")
-    return old.join(delta.select(*key), key, "left_anti").unionByName(delta.select(*old.columns))
+    return old.join(delta.select(*key), key, "left_anti").select(*old.columns).unionByName(delta.select(*old.columns))
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, corpus_id: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +153,7 @@ def memory_upsert(stored: DataFrame, delta: DataFrame, id_column: str) -> DataFr
     new = last.join(place, ["corpus_id", id_column], "left_anti")
     rank = F.row_number().over(Window.partitionBy("corpus_id").orderBy("_ord"))  # the request only, at most one section's delta
     added = new.join(end, "corpus_id", "left").select("_x.*", (F.coalesce("_end", F.lit(-1)) + rank).cast("bigint").alias("pos"))
-    return kept.unionByName(known.select(*stored.columns)).unionByName(added.select(*stored.columns))
+    return kept.select(*stored.columns).unionByName(known.select(*stored.columns)).unionByName(added.select(*stored.columns))
 
 
 def schema_merge(stored: DataFrame, intents: DataFrame) -> DataFrame:
