@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import spread
+from graphloom.session import map_arrow, spread
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "zh")
 #: Labelled samples used for training at most.
@@ -270,7 +270,7 @@ def detect(passages: DataFrame, samples: DataFrame, keys: list[str], text: Colum
                     )
 
     schema = ", ".join(f"{k} string" for k in names) + ", label_lang string, segment int, start int, end int, lang string, confidence double"
-    found = spread(picked).mapInArrow(run, schema)
+    found = map_arrow(spread(picked), run, schema)
     return found.select(*[F.col(k).alias(c.split(".")[-1]) for k, c in zip(names, keys)], "label_lang", "segment", "start", "end", "lang", "confidence")
 
 

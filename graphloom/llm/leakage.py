@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import spread
+from graphloom.session import map_arrow, spread
 
 WINDOW = 12
 #: Broadcast the evaluation windows up to this many; beyond it both sides shuffle by hash.
@@ -123,7 +123,7 @@ def common_words(items: DataFrame, column: str = "passage") -> frozenset[str]:
             each = [w for t in batch.column(0).to_pylist() for w in set(words(t))]
             yield pa.RecordBatch.from_arrays([pa.array(each, pa.string())], names=["w"])
 
-    counted = items.select(column).mapInArrow(run, "w string").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counted = map_arrow(items.select(column), run, "w string").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     top = counted.filter(F.col("n") >= COMMON_ITEMS).orderBy(F.desc("n"), "w").limit(COMMON_WORDS)
     return frozenset(r["w"] for r in top.collect())
 
@@ -143,8 +143,8 @@ def template_windows(df: DataFrame, id_column: str, text_column: str, common: fr
                     names=["id", "pos", "template", "slots", "words"],
                 )
 
-    return spread(df.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))).mapInArrow(
-        run, f"id {id_type}, pos int, template bigint, slots bigint, words bigint"
+    return map_arrow(
+        spread(df.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))), run, f"id {id_type}, pos int, template bigint, slots bigint, words bigint"
     )
 
 

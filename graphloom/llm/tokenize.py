@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import spread
+from graphloom.session import map_arrow, spread
 
 DEFAULT_VOCABULARY = os.environ.get("GRAPHLOOM_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Word pattern that the vocabulary was built with (fixed value).
@@ -182,4 +182,4 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
                 ids = encoder.encode_batch(part.column(1).to_pylist(), pattern)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"])
 
-    return spread(documents.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))).mapInArrow(run, f"`{id_column}` {id_type}, ids array<int>")
+    return map_arrow(spread(documents.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))), run, f"`{id_column}` {id_type}, ids array<int>")
