@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import map_arrow
+
 EMITTED = "tag string, snapshot_id string, pk string, parent_pk string, payload string"
 
 #: Payload schema of each table.
@@ -160,7 +162,7 @@ def emit(snapshots: DataFrame, tags: Iterable[str] = tuple(SCHEMAS), id_column:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], names=names)
 
-    return snapshots.select(F.col(f"`{id_column}`").alias("_i"), F.col(f"`{body_column}`").alias("_b")).mapInArrow(run, EMITTED)
+    return map_arrow(snapshots.select(F.col(f"`{id_column}`").alias("_i"), F.col(f"`{body_column}`").alias("_b")), run, EMITTED)
 
 
 def tables(emitted: DataFrame, tags: Sequence[str]) -> dict[str, DataFrame]:

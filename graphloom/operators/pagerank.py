@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
 from graphloom.functions.scalar import utf16_key
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, map_arrow
 
 MAX_ITERATIONS, MAX_SEEDS = 128, 512
 CHECKPOINT_EVERY = 5
@@ -94,7 +94,7 @@ def _in_one_task(shares: DataFrame, jump: dict[str, float] | None, p: float, eps
                 names=["node_id", "score", "iterations", "l1_delta"],
             )
 
-    return shares.coalesce(1).mapInArrow(run, "node_id string, score double, iterations int, l1_delta double")
+    return map_arrow(shares.coalesce(1), run, "node_id string, score double, iterations int, l1_delta double")
 
 
 def personalised_pagerank(

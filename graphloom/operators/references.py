@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import shuffle_partitions
+from graphloom.session import map_arrow, shuffle_partitions
 
 _FOREVER = np.iinfo(np.int64).max
 _CAUSES = np.array(["", "missing", "deleted", "late"], dtype=object)
@@ -177,6 +177,6 @@ def find_orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None,
         "row_id",
     )
     placed = tagged_parents.unionByName(tagged_refs).repartitionByRange(ranges, "key", "salt")
-    misses = placed.sortWithinPartitions("tag", "key").mapInArrow(_probe, _PROBED)
+    misses = map_arrow(placed.sortWithinPartitions("tag", "key"), _probe, _PROBED)
     corpus, ref = split_key(F.col("key"))
     return misses.select("src", "row_id", corpus.alias("corpus_id"), ref.alias("ref_id"), "at", "cause")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, invalid
 from graphloom.functions.scalar import cosine, fold, token_score, utf16_key
-from graphloom.session import spread
+from graphloom.session import map_arrow, spread
 
 #: Limits of a request; all may be raised.
 MAX_DIMENSIONS, MAX_TOP_K, MAX_SLOTS, MAX_SLOT_HITS, MAX_SEEDS = 4096, 10_000, 8, 128, 512
@@ -65,7 +65,7 @@ def scored(vectors: DataFrame, queries: dict[str, tuple[str, np.ndarray, float,
                     keep = keep[score[keep] >= cut]
                 yield pa.RecordBatch.from_arrays([pa.array([slot] * len(keep), pa.string()), part.column(0).take(pa.array(keep)), pa.array(score[keep], pa.float64())], names=["slot", "id", "score"])
 
-    return spread(vectors.select("id", "values", "namespace")).mapInArrow(run, "slot string, id string, score double")
+    return map_arrow(spread(vectors.select("id", "values", "namespace")), run, "slot string, id string, score double")
 
 
 def vector_search(vectors: DataFrame, corpus_id: str, namespace: str, query: Sequence[float], top_k: int = 10, threshold: float | None = None) -> DataFrame:

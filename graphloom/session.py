@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the schema comes from Parquet, filters and columns are pushed to the scan."""
@@ -17,6 +22,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose function may use this package on any executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core for work that is heavy per row; large inputs have them already and pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
