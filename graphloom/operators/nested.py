@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import map_arrow
+from graphloom.session import map_arrow, spread
 
 EMITTED = "tag string, snapshot_id string, pk string, parent_pk string, payload string"
 
@@ -134,7 +134,7 @@ def visit(snapshot_id: str | None, body: str | None, tags: frozenset[str]) -> It
 
 
 def emit(snapshots: DataFrame, tags: Iterable[str] = tuple(SCHEMAS), id_column: str = "snapshot_id", body_column: str = "body") -> DataFrame:
-    """Tagged rows of all bodies, in one pass and without a shuffle: ``tag, snapshot_id, pk, parent_pk, payload``.
+    """Tagged rows of all bodies, in one pass; only an input of fewer partitions than cores is spread first: ``tag, snapshot_id, pk, parent_pk, payload``.
 
     Null, empty and broken bodies (also NaN literals and nesting too deep for the
     parser) give no row. Null elements give no row but keep their position; empty
@@ -162,7 +162,8 @@ def emit(snapshots: DataFrame, tags: Iterable[str] = tuple(SCHEMAS), id_column:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], names=names)
 
-    return map_arrow(snapshots.select(F.col(f"`{id_column}`").alias("_i"), F.col(f"`{body_column}`").alias("_b")), run, EMITTED)
+    bodies = snapshots.select(F.col(f"`{id_column}`").alias("_i"), F.col(f"`{body_column}`").alias("_b"))
+    return map_arrow(spread(bodies), run, EMITTED)
 
 
 def tables(emitted: DataFrame, tags: Sequence[str]) -> dict[str, DataFrame]:

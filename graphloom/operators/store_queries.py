@@ -336,6 +336,29 @@ def _ordered(ids: list[str]) -> str:
 _LATEST = "SELECT * FROM mem_schemas QUALIFY row_number() OVER (PARTITION BY corpus_id, schema_id ORDER BY ingested_at DESC, raw DESC) = 1"
 _DOCUMENT = f"(SELECT min(x) FROM (SELECT unnest(source_document_ids) AS x FROM mem_facts WHERE corpus_id = '{LARGE}'))"
 
+_DELETED = (
+    with_views("m_nodes", "g_lexical").rstrip()
+    + """,
+f AS (SELECT fact_id, schema_id, passage_id, CASE WHEN pos % 5 = 0 THEN ['d' || (pos % 40), 'd' || ((pos + 3) % 40)] ELSE ['d' || (pos % 40)] END AS docs FROM g_facts),
+p AS (SELECT passage_id, 'd' || (CAST(passage_id AS BIGINT) % 40) AS doc FROM g_lexical),
+lost_p AS (SELECT passage_id FROM p WHERE doc = 'd7'),
+t AS (SELECT *, list_filter(docs, lambda x: x <> 'd7') AS kept, passage_id IN (SELECT passage_id FROM lost_p) AS lost FROM f WHERE list_contains(docs, 'd7')),
+lost_f AS (SELECT fact_id FROM t WHERE lost OR len(kept) = 0),
+keep_f AS (SELECT * FROM t WHERE NOT lost AND len(kept) > 0),
+sch AS (SELECT schema_id, CAST(count(*) AS BIGINT) AS frequency FROM f GROUP BY 1),
+n AS (SELECT 'fact:' || fact_id AS node_id, 'fact' AS layer FROM f UNION ALL SELECT 'passage:' || passage_id, 'passage' FROM p UNION ALL SELECT 'schema:' || schema_id, 'ontology' FROM sch UNION ALL SELECT node_id, layer FROM m_nodes WHERE layer = 'entity'),
+gone AS (SELECT 'fact:' || fact_id AS id FROM lost_f UNION ALL SELECT 'passage:' || passage_id FROM lost_p),
+e AS (SELECT edge_id, source_node_id AS a, target_node_id AS b, relation, source_node_id IN (SELECT id FROM gone) OR target_node_id IN (SELECT id FROM gone)
+             OR (relation = 'entity_cooccurrence' AND split_part(edge_id, ':', 4) IN (SELECT fact_id FROM lost_f)) AS cut FROM m_edges),
+ends AS (SELECT a AS id, cut, relation FROM e UNION ALL SELECT b, cut, relation FROM e),
+orphan AS (SELECT DISTINCT id FROM ends WHERE cut AND id LIKE 'entity:%' AND id NOT IN (SELECT id FROM ends WHERE NOT cut AND relation IN ('entity_mention', 'entity_cooccurrence'))),
+x AS (SELECT *, cut OR a IN (SELECT id FROM orphan) OR b IN (SELECT id FROM orphan) AS removed FROM e),
+v AS (SELECT 'fact:' || fact_id AS id, docs[1] AS doc, (SELECT kept[1] FROM keep_f k WHERE k.fact_id = f.fact_id) AS next FROM f UNION ALL SELECT 'passage:' || passage_id, doc, NULL FROM p),
+w AS (SELECT *, CASE WHEN id IN (SELECT id FROM gone) OR (doc = 'd7' AND next IS NULL) THEN 'remove' WHEN doc = 'd7' THEN 'rekey' ELSE 'keep' END AS fate FROM v)
+"""
+)
+_C = "CAST((SELECT count(*) FROM {}) AS BIGINT) AS {}"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -389,4 +412,17 @@ SQL = {
     "memory_upsert_post": _F + "SELECT corpus_id, pos, fact_id, CASE WHEN fact_id = 'f3' THEN 'last' ELSE state END AS state FROM g_facts UNION ALL SELECT 'memory', (SELECT max(pos) FROM g_facts) + 1, 'f-b', 'new' UNION ALL SELECT 'memory', (SELECT max(pos) FROM g_facts) + 2, 'f-a', 'new'",
     "schema_merge_post": f"WITH s AS ({_LATEST}) SELECT corpus_id, schema_id, CASE WHEN corpus_id = '{LARGE}' THEN coalesce(frequency, 0) + 1 ELSE frequency END AS frequency, CAST(len(fact_ids) + CASE WHEN corpus_id = '{LARGE}' THEN 1 ELSE 0 END AS INTEGER) AS facts, CASE WHEN corpus_id = '{LARGE}' THEN 'doc-new' ELSE source_document_ids[-1] END AS last_document, CAST(len(aliases) + CASE WHEN corpus_id = '{LARGE}' THEN 1 ELSE 0 END AS INTEGER) AS aliases FROM s",
     "activate_facts_post": _F + "SELECT fact_id, CASE WHEN schema_id IN ('view', 'click') THEN 'active' ELSE state END AS state, CASE WHEN schema_id IN ('view', 'click') AND state = 'inactive' THEN 'now' ELSE 'old' END AS updated_at FROM g_facts",
-}
+    "delete_document_counts": _DELETED + "SELECT " + ", ".join(
+        _C.format(a, b)
+        for a, b in (
+            ("lost_p", "removed_passages"), ("lost_f", "removed_facts"), ("keep_f", "pruned_shared_facts"), ("sch", "pruned_schemas"), ("sch", "schema_frequency_adjusted"), ("lost_p", "removed_passage_nodes"),
+            ("lost_f", "removed_fact_nodes"), ("orphan", "removed_entity_nodes"), ("sch WHERE false", "removed_other_nodes"), ("keep_f", "pruned_shared_nodes"), ("sch", "pruned_ontology_nodes"), ("sch WHERE false", "removed_ontology_nodes"),
+            ("x WHERE removed", "removed_edges"), ("w WHERE fate = 'remove'", "removed_vectors"), ("w WHERE fate = 'rekey'", "rekeyed_vectors"), ("lost_p", "removed_lexical_passages"),
+        )
+    ),
+    "delete_document_nodes": _DELETED + "SELECT node_id, layer FROM n WHERE node_id NOT IN (SELECT id FROM gone) AND node_id NOT IN (SELECT id FROM orphan)",
+    "delete_document_edges": _DELETED + "SELECT edge_id FROM x WHERE NOT removed",
+    "delete_document_vectors": _DELETED + "SELECT id, CASE fate WHEN 'rekey' THEN next ELSE doc END AS document_id FROM w WHERE fate <> 'remove'",
+    "delete_document_facts": _DELETED + "SELECT fact_id, array_to_string(docs, ',') AS documents, CAST(1 AS INTEGER) AS passages FROM f WHERE NOT list_contains(docs, 'd7') UNION ALL SELECT fact_id, array_to_string(kept, ','), 1 FROM keep_f",
+    "delete_document_schemas": _DELETED + "SELECT schema_id, frequency - 1 AS frequency, 'pending' AS state, 'd8' AS documents FROM sch",
+}
