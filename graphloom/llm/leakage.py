@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import map_arrow, spread
+from graphloom.session import checkpoint, map_arrow, spread
 
 WINDOW = 12
 #: Broadcast the evaluation windows up to this many; beyond it both sides shuffle by hash.
@@ -89,7 +89,7 @@ class Templates:
         return got
 
     def windows(self, texts: list[str | None], size: int) -> tuple[np.ndarray, ...]:
-        """(row, position, template, slots, words) of every window of every text; hashes are int64."""
+        """(row, position, template, slots, words, fillers) of every window of every text; hashes are int64, fillers a list of them."""
         coded = [[self.code(w) for w in words(t)] for t in texts]
         lengths = np.array([len(c) for c in coded], np.int64)
         flat = np.array([x for c in coded for x in c], np.uint64).reshape(-1, 2)
@@ -113,7 +113,10 @@ class Templates:
             exact = exact * _M2 + plain[at]
             near = np.where(slot[at] & (back[at] <= i), back[at], 0).astype(np.uint64)
             slots = slots * _M3 + mix(near + np.uint64(1))
-        return row[starts], position[starts], *(mix(x).view(np.int64) for x in (template, slots, exact))
+        at = starts[:, None] + np.arange(size)
+        filled = slot[at] if len(starts) else np.zeros((0, size), bool)
+        fillers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled.sum(axis=1))]), pa.int32()), pa.array(plain[at][filled].view(np.int64) if len(starts) else np.empty(0, np.int64)))
+        return row[starts], position[starts], *(mix(x).view(np.int64) for x in (template, slots, exact)), fillers
 
 
 def common_words(items: DataFrame, column: str = "passage") -> frozenset[str]:
@@ -128,8 +131,8 @@ def common_words(items: DataFrame, column: str = "passage") -> frozenset[str]:
     return frozenset(r["w"] for r in top.collect())
 
 
-def template_windows(df: DataFrame, id_column: str, text_column: str, common: frozenset[str], size: int = WINDOW) -> DataFrame:
-    """``id, pos, template, slots, words`` of each window of each text; made in the scan, no shuffle."""
+def template_windows(df: DataFrame, id_column: str, text_column: str, common: frozenset[str], size: int = WINDOW, fillers: bool = False) -> DataFrame:
+    """``id, pos, template, slots, words`` (and ``fillers``) of each window of each text; made in the scan, no shuffle."""
     id_type = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +140,12 @@ def template_windows(df: DataFrame, id_column: str, text_column: str, common: fr
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                row, pos, *hashes = coder.windows(part.column(1).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), *map(pa.array, hashes)],
-                    names=["id", "pos", "template", "slots", "words"],
-                )
+                row, pos, *hashes, filled = coder.windows(part.column(1).to_pylist(), size)
+                columns = [part.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), *map(pa.array, hashes)]
+                yield pa.RecordBatch.from_arrays(columns + [filled] * fillers, names=["id", "pos", "template", "slots", "words"] + ["fillers"] * fillers)
 
     return map_arrow(
-        spread(df.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))), run, f"id {id_type}, pos int, template bigint, slots bigint, words bigint"
+        spread(df.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))), run, f"id {id_type}, pos int, template bigint, slots bigint, words bigint" + ", fillers array<bigint>" * fillers
     )
 
 
@@ -178,3 +179,28 @@ def leaks(
         F.sum((F.col("words") == F.col("item_words")).cast("bigint")).alias("literal"),
         F.min("pos").alias("first_pos"),
     )
+
+
+def reparameterised(
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", window: int = WINDOW
+) -> DataFrame:
+    """Documents that hold an item's template under other fillers: ``doc_id, item_id, windows, first_pos``.
+
+    Pairs without a literal window only. Along one alignment of document and item
+    all matching windows together must rename slots one to one: the same filler of
+    the item always stands for the same filler of the document, and the reverse.
+    The longest alignment that does so is reported. Nulls, empty and repeated rows
+    as in :func:`leaks`.
+    """
+    pairs = checkpoint(leaks(documents, items, doc_id, text, item_id, passage, window).filter("literal = 0").select("doc_id", "item_id"))
+    common = common_words(items, passage)
+    few = documents.join(pairs.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
+    d = template_windows(few, doc_id, text, common, window, fillers=True).withColumnRenamed("id", "doc_id").drop("words").distinct()
+    i = template_windows(items, item_id, passage, common, window, fillers=True).select(F.col("id").alias("item_id"), F.col("pos").alias("_at"), "template", "slots", F.col("fillers").alias("_item")).distinct()
+    hits = d.join(i, ["template", "slots"]).join(pairs, ["doc_id", "item_id"]).withColumn("shift", F.col("pos") - F.col("_at"))
+    along = ["doc_id", "item_id", "shift"]
+    bound = hits.select(*along, F.explode(F.arrays_zip("fillers", "_item")).alias("x")).select(*along, F.col("x.fillers").alias("a"), F.col("x._item").alias("b")).distinct()
+    broken = bound.groupBy(*along, "a").count().filter("count > 1").select(*along).unionByName(bound.groupBy(*along, "b").count().filter("count > 1").select(*along)).distinct()
+    whole = hits.groupBy(*along).agg(F.countDistinct("pos").alias("windows"), F.min("pos").alias("first_pos")).join(broken, along, "left_anti")
+    best = whole.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", -F.col("first_pos"))).alias("x"))
+    return best.select("doc_id", "item_id", F.col("x.windows").alias("windows"), (-F.col("x")["col2"]).alias("first_pos"))

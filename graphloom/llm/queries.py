@@ -51,7 +51,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's template under other names or numbers, and no literal copy of it."""
-    return _leaks(spark, sf_dir).filter(F.col("literal") == 0).select("doc_id", "item_id", "windows", "first_pos")
+    return leakage.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,17 +68,26 @@ def test_case_folding(spark):
     assert literal(found(spark, [(1, text.upper())], [("g", text)])) == {(1, "g")}
 
 
+def renamed(spark, docs, items):
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS)
+    i = spark.createDataFrame([(*r, 1) for r in items], ITEMS)
+    return {(r["doc_id"], r["item_id"]): r for r in leakage.reparameterised(d, i).collect()}
+
+
 def test_reparameterised_copy_needs_consistent_slots(spark):
     # three items make the plain words common; the copies change names and numbers
-    story = STORY.replace(" of herring worth 30 coins", "")  # the name returns within one window
-    items = [(f"i{k}", story.replace("Tamolo", t).replace("Bereku", b)) for k, (t, b) in enumerate((("Tamolo", "Bereku"), ("Sidova", "Harane"), ("Wilabu", "Nodero")))]
-    same = story.replace("Tamolo", "Kolira").replace("Bereku", "Zumona").replace("12", "99")
-    broken = same.replace("Kolira", "Pamuto", 1)
-    got = {(r["doc_id"], r["item_id"]): r for r in found(spark, [(1, same), (2, broken)], items)}
-    assert all(got[1, f"i{k}"]["literal"] == 0 for k in range(3))
-    full = got[1, "i0"]["windows"]
-    assert full == len(story.split()) - 11
-    assert all(r["windows"] < full for (d, _), r in got.items() if d == 2)
+    items = [(f"i{k}", STORY.replace("Tamolo", t).replace("Bereku", b)) for k, (t, b) in enumerate((("Tamolo", "Bereku"), ("Sidova", "Harane"), ("Wilabu", "Nodero")))]
+    same = STORY.replace("Tamolo", "Kolira").replace("Bereku", "Zumona").replace("12", "99")
+    broken = same.replace("Kolira", "Pamuto", 1)  # the name returns beyond one window
+    merged = same.replace("Zumona", "Kolira")
+    docs = [(1, same), (2, broken), (3, merged), (4, STORY), (5, None), (6, ""), (1, same)]
+    got = renamed(spark, docs, items)
+    # document 3 differs in every window that holds both names; 4 is literal between the names
+    assert set(got) == {(d, f"i{k}") for k in range(3) for d in (1, 3)}
+    full = len(STORY.split()) - 11
+    assert all(r["windows"] == full if d == 1 else r["windows"] < full for (d, _), r in got.items())
+    assert {r["first_pos"] for r in got.values()} == {0}
+    assert renamed(spark, [], items) == {} and renamed(spark, docs, []) == {}
 
 
 def test_empty_tables(spark):
