@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import checkpoint
@@ -76,5 +76,6 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     part, at = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND((1 << 33) - 1)
     placed = placed.withColumn("_part", part)
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = counts.alias("x").join(counts.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy("x._part").agg(F.coalesce(F.sum("y._c"), F.lit(0)).alias("_before"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    earlier = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(earlier), "_part").withColumn(name, F.col("_before") + at + 1).drop("_mid", "_part", "_before")

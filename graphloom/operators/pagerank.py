@@ -62,8 +62,8 @@ def teleport(edges: DataFrame, seeds: dict[str, float]) -> DataFrame:
     return nodes.select("node_id", F.lit(1.0 / n if n else 0.0).alias("score"))
 
 
-def _in_one_task(shares: DataFrame, jump: dict[str, float] | None, p: float, epsilon: float, max_iterations: int) -> DataFrame:
-    """All iterations over adjacency arrays: node_id, score and in every row iterations and l1_delta."""
+def _in_one_task(edges: DataFrame, seeds: dict[str, float], p: float, epsilon: float, max_iterations: int, hub_threshold: int) -> DataFrame:
+    """Preparation and all iterations over adjacency arrays: node_id, score and in every row iterations and l1_delta."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)  # at most LOCAL_EDGES rows, counted before
@@ -71,17 +71,23 @@ def _in_one_task(shares: DataFrame, jump: dict[str, float] | None, p: float, eps
             return
         t = pa.Table.from_batches(parts)
         m = t.num_rows
-        code, names = pd.factorize(np.concatenate([t.column(c).to_pandas().to_numpy() for c in ("src", "dst")]))
-        src, dst, share, n = code[:m], code[m:], t.column("share").to_numpy(), len(names)
-        if jump is None:
-            start = np.full(n, 1.0 / n)
-        else:
-            start = np.zeros(n)
-            at = pd.Index(names).get_indexer(list(jump))
-            start[at[at >= 0]] = np.array(list(jump.values()))[at >= 0]
+        code, names = pd.factorize(np.concatenate([t.column(c).to_pandas().to_numpy() for c in ("source_node_id", "target_node_id")]))
+        src, dst, weight, n = code[:m], code[m:], t.column("weight").cast(pa.float64()).fill_null(np.nan).to_numpy(), len(names)
+        if not np.isfinite(weight).all() or (weight < 0).any():
+            raise GraphError("INTEGRITY", "a weight is negative or not finite")
+        out = np.bincount(src, weight, minlength=n)
+        if (out[src] <= 0).any():
+            raise GraphError("INTEGRITY", "the weights of a source sum to 0")
+        degree = np.bincount(code, minlength=n)
+        hub = (degree > hub_threshold) & pd.Series(names).str.startswith("schema:").to_numpy(bool)
+        share = weight / out[src] * np.where(hub, 1.0 / np.log2(degree + 2.0), 1.0)[dst] * (1.0 - p)
+        start = np.zeros(n)
+        at = pd.Index(names).get_indexer(list(seeds))
+        start[at[at >= 0]] = np.array(list(seeds.values()), float)[at >= 0]
+        start = start / start.sum() if start.sum() > 0 else np.full(n, 1.0 / n)
         score, delta, done = start, 0.0, 0
         for done in range(1, max_iterations + 1):
-            new = np.bincount(dst, score[src] * share * (1.0 - p), minlength=n) + p * start
+            new = np.bincount(dst, score[src] * share, minlength=n) + p * start
             delta = float(np.abs(new - score).sum())
             score = new
             if delta < epsilon:
@@ -94,7 +100,8 @@ def _in_one_task(shares: DataFrame, jump: dict[str, float] | None, p: float, eps
                 names=["node_id", "score", "iterations", "l1_delta"],
             )
 
-    return map_arrow(shares.coalesce(1), run, "node_id string, score double, iterations int, l1_delta double")
+    gathered = edges.select("source_node_id", "target_node_id", "weight").repartition(1)
+    return map_arrow(gathered, run, "node_id string, score double, iterations int, l1_delta double")
 
 
 def personalised_pagerank(
@@ -104,19 +111,18 @@ def personalised_pagerank(
 
     ``edges``: source_node_id, target_node_id, weight of one corpus; repeated edges
     count again. Up to ``local_edges`` edges run in one task, more as joins. Mass of sinks and of damped hubs is lost. ``epsilon=None`` runs
-    exactly ``max_iterations`` as one plan. No edges: no scores, converged.
+    exactly ``max_iterations``. No edges: no scores, converged.
     """
     if max_iterations > MAX_ITERATIONS or len(seeds) > MAX_SEEDS:
         raise GraphError("RESOURCE_LIMIT", "too many iterations or seeds")
+    if max_iterations and edges.limit(local_edges + 1).count() <= local_edges:
+        out = _in_one_task(edges, seeds, teleport_probability, -1.0 if epsilon is None else epsilon, max_iterations, hub_threshold).persist()
+        last = out.select("iterations", "l1_delta").first()
+        scores = out.filter("score > 0").select("node_id", "score")
+        return Ranking(scores, last[0], epsilon is None or last[1] < epsilon, last[1]) if last else Ranking(scores, 0, True, 0.0)
     jump = teleport(edges, seeds)
     # partitioned by source once: no iteration moves the edges again
     shares = checkpoint(prepare(edges, hub_threshold).repartition("src"))
-    if epsilon is not None and max_iterations and shares.limit(local_edges + 1).count() <= local_edges:
-        known = None if jump.count() > MAX_SEEDS else {r["node_id"]: r["score"] for r in jump.limit(MAX_SEEDS).collect()}
-        out = _in_one_task(shares, known, teleport_probability, epsilon, max_iterations).persist()
-        last = out.select("iterations", "l1_delta").first()
-        scores = out.filter("score > 0").select("node_id", "score")
-        return Ranking(scores, last[0], last[1] < epsilon, last[1]) if last else Ranking(scores, 0, True, 0.0)
     kept = 1.0 - teleport_probability
     restart = jump.select("node_id", (F.col("score") * teleport_probability).alias("new"))
     scores, delta, done = jump, 0.0, 0

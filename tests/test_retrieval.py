@@ -96,6 +96,15 @@ def test_pagerank_both_ways(spark, seeds):
         assert {r["node_id"]: r["score"] for r in got.scores.filter("score > 0").collect()} == pytest.approx(want)
 
 
+def test_pagerank_fixed_iterations(spark):
+    edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "a", 1.0)]
+    df = spark.createDataFrame(edges, "source_node_id string, target_node_id string, weight double")
+    want, _ = model(edges, {"a": 1.0}, 0.15, -1.0, 3, 100)
+    for limit in (0, 1000):
+        got = pagerank.personalised_pagerank(df, {"a": 1.0}, 0.15, None, 3, 100, local_edges=limit)
+        assert got.iterations == 3 and {r["node_id"]: r["score"] for r in got.scores.collect()} == pytest.approx(want)
+
+
 def test_pagerank_limits(spark):
     empty = spark.createDataFrame([], "source_node_id string, target_node_id string, weight double")
     none = pagerank.personalised_pagerank(empty, {"a": 1.0})
