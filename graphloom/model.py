@@ -29,7 +29,7 @@ def tagged_column(column: Column, field: str) -> Column:
     parts = [F.lit(field).alias("t")]
     for name, kind in (("s", "string"), ("i", "bigint"), ("d", "double"), ("b", "boolean"), ("x", "binary")):
         parts.append((column if name == field else F.lit(None)).cast(kind).alias(name))
-    return F.struct(*parts).cast(VALUE)
+    return F.struct(*parts)
 
 
 def properties(**columns: tuple[Column, str]) -> Column:
@@ -38,6 +38,11 @@ def properties(**columns: tuple[Column, str]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def fixed_properties(**columns: tuple[Column, str]) -> Column:
+    """Property map of columns that are never null; the optimizer sees through it, so filters on a property reach the scan."""
+    return F.create_map(*[x for k, (c, f) in columns.items() for x in (F.lit(k), tagged_column(c, f))])
+
+
 def number(properties: Column, name: str) -> Column:
     """A numeric property as double; 0.0 for a missing or other value."""
     v = properties[name]

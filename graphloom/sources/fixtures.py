@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.model import fixed_properties
 from graphloom.session import table
 
 SQL_VIEWS = {
@@ -78,12 +79,10 @@ def g_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def property_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The relational graph as a property graph for the Cypher front end."""
-    from graphloom.model import properties
-
     nodes, edges = g_nodes(spark, d), g_edges(spark, d)
     return (
-        nodes.select(F.col("node_id").alias("id"), F.array("label").alias("labels"), properties(corpusId=(F.col("corpus_id"), "s"), layer=(F.col("layer"), "s")).alias("properties")),
-        edges.select(F.col("edge_id").alias("id"), F.col("source_node_id").alias("from"), F.col("target_node_id").alias("to"), F.col("relation").alias("edge_type"), properties(weight=(F.col("weight"), "d")).alias("properties")),
+        nodes.select(F.col("node_id").alias("id"), F.array("label").alias("labels"), fixed_properties(corpusId=(F.col("corpus_id"), "s"), layer=(F.col("layer"), "s")).alias("properties")),
+        edges.select(F.col("edge_id").alias("id"), F.col("source_node_id").alias("from"), F.col("target_node_id").alias("to"), F.col("relation").alias("edge_type"), fixed_properties(weight=(F.col("weight"), "d")).alias("properties")),
     )
 
 
