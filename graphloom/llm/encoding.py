@@ -34,11 +34,11 @@ LEAST_MARGIN, VALIDATION_ROWS = 1.8, 2000
 ROUNDS = 3
 #: Nats that choose a chain of UTF-8 bytes, which rarely form by chance, over one that could read any bytes; no part of the gain.
 STRUCTURE = 12.0
-#: A word in which every character follows the two before it with more than this log probability is in order.
+#: A word in which every character follows the two before it with more than this log probability is in order; it is scored like any other.
 UNUSUAL = -6.0
 #: The same for words of CJK and ASCII characters only: their characters vary more, misread ones are hardly ever seen.
 UNUSUAL_CJK = -9.0
-#: Nats that a word speaks at most against a chain, and what a word in order does that the chain would change.
+#: Nats that a stretch speaks at most against a chain, and all stretches of a word in order together.
 LOSS, IN_ORDER = 10.0, 4.0
 #: Documents with more than this gain under the first model do not train the second.
 SUSPECT = 1.5
@@ -344,12 +344,8 @@ class Repairer:
         if "\ufffd" in word:
             out.append((("lossy", ""), self.lossy(padded), word))
         each = [char(padded[i - 2 : i + 1]) for i in range(2, len(padded))]
-        if min(each) > (UNUSUAL if _WESTERN.search(word) else UNUSUAL_CJK):
-            self.memo[word] = out
-            return out
+        least = -IN_ORDER if min(each) > (UNUSUAL if _WESTERN.search(word) else UNUSUAL_CJK) else -math.inf
         upto = [0.0, 0.0, *itertools.accumulate(each)]
-        odd = [0, 0, 0, *itertools.accumulate(p <= UNUSUAL for p in each)]
-        end = len(odd) - 1
         seen: dict[tuple[int, int, str], float] = {}
         for name, read in self.wrong.items():
             if not any(c > "\x7f" and read[c] is not None for c in word):
@@ -360,8 +356,6 @@ class Repairer:
                     continue
                 total, parts, last, whole = 0.0, [], 2, written not in _SEQUENCE
                 for s, e, new in spans(padded, cut, read, written):
-                    if odd[min(e + 2, end)] == odd[s] and not whole:
-                        continue
                     g = seen.get((s, e, new))
                     if g is None:
                         # log probabilities only fall: stop as soon as the stored text is likelier
@@ -377,7 +371,7 @@ class Repairer:
                         parts += [padded[last:s], new]
                         last = e
                 if total > 0 or whole and parts:
-                    out.append(((name, written), total, "".join([*parts, padded[last:-2]])))
+                    out.append(((name, written), max(total, least), "".join([*parts, padded[last:-2]])))
         if len(self.memo) > MEMO:
             self.memo.clear()
         self.memo[word] = out
@@ -405,15 +399,11 @@ class Repairer:
             if sentence.isascii():
                 continue
             words = [w for w in _WORD.findall(sentence) if not w.isascii() and not (western and max(w) >= "\u2e80")]
-            known = [self.word(w) for w in words]
             here: dict[tuple[str, str], float] = {}
-            for options in known:
-                for chain, g, _ in options:
+            for w in words:
+                for chain, g, _ in self.word(w):
                     here[chain] = here.get(chain, 0.0) + g
             for chain, g in here.items():
-                if chain[1] and chain[1] not in _SEQUENCE and g > 0:
-                    read = self.wrong[chain[0]]
-                    g -= IN_ORDER * sum(not options and any(c > "\x7f" and c != "\xa0" and read[c] is not None for c in w) for w, options in zip(words, known))
                 if g > 0 and (not only_utf8 or chain[1] == "utf_8"):
                     gains[chain] = gains.get(chain, 0.0) + g
         if not gains:

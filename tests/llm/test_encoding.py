@@ -90,3 +90,21 @@ def test_queries(spark, small):
     found = {r["doc_id"] for r in queries.p8_found(spark, small).collect()}
     lost = {r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").filter("text LIKE '%�%'").collect()}
     assert lost <= found
+
+
+def test_frequent_misreadings_are_scored(spark):
+    """A source that repeats one misreading makes its garbled trigrams usual; its words are scored all the same."""
+    kinds = ("Tür", "Gerüche", "Hülle", "Bügel", "Füße", "Schlüssel")
+    good = [f"Die {k} ist für mich sehr schön und überall günstig zu haben, Nummer {i}." for i in range(100) for k in kinds]
+    bad = [read_wrongly(f"Die {k} ist für mich sehr schön und überall günstig zu haben.", "cp1252", "cp850") for k in kinds] * 8
+    buckets, counts = E.count_ngrams(good + bad)
+    table = np.zeros(E.TABLE, np.float32)
+    table[buckets] = counts
+    model = E.CharModel(table)
+    word = bad[0].split()[3]
+    assert min(model.char(f"  {word}  "[i - 2 : i + 1]) for i in range(2, len(word) + 4)) > -6
+    assert (("cp850", "ansi"), "für") in [(c, new) for c, g, new in E.Repairer(model).word(word) if g > 0]
+    rows = list(enumerate(good + bad))
+    got = E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string"), []).collect()
+    assert {r["doc_id"] for r in got} == set(range(len(good), len(rows)))
+    assert {r["restored"] for r in got} <= {g.split(", Nummer")[0] + "." for g in good}
