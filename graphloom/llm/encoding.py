@@ -14,7 +14,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ _OFFSETS = (0, 1 << BITS[0], (1 << BITS[0]) + (1 << BITS[1]))
 TABLE = _OFFSETS[2] + (1 << BITS[2])
 #: Interpolation weights of trigram, bigram, unigram and uniform share.
 WEIGHTS = (0.55, 0.3, 0.1499, 0.0001)
-#: Least margin in nats, and rows of the clean sample that may raise it.
-LEAST_MARGIN, VALIDATION_ROWS = 1.8, 2000
+#: Least margin in nats.
+LEAST_MARGIN = 1.8
 ROUNDS = 3
 #: Nats that choose a chain of UTF-8 bytes, which rarely form by chance, over one that could read any bytes; no part of the gain.
 STRUCTURE = 12.0
@@ -449,19 +449,40 @@ class Repairer:
         return " ".join(chains), total, None if lossy or "�" in now else now
 
 
+def highest_gain(repairer: Repairer, clean: Iterable[str]) -> float:
+    return max((found[1] for t in clean if t and not t.isascii() and (found := repairer.best(t))), default=0.0)
+
+
+def margin_above(worst: float, least: float = LEAST_MARGIN) -> float:
+    return max(least, 1.25 * worst)
+
+
 def validated_margin(model: CharModel, clean: list[str], least: float = LEAST_MARGIN) -> float:
     """The least margin, or more if a clean record would pass it: above every gain on the validation records."""
-    trial = Repairer(model, 0.0)
-    worst = max((found[1] for t in clean if t and not t.isascii() and (found := trial.best(t))), default=0.0)
-    return max(least, 1.25 * worst)
+    return margin_above(highest_gain(Repairer(model, 0.0), clean), least)
+
+
+def margin_over_all(model: CharModel, clean: list[DataFrame]) -> float:
+    """:func:`validated_margin` over all rows of the one-column frames ``clean``, judged where they lie."""
+    if not clean:
+        return LEAST_MARGIN
+    rows = reduce(DataFrame.unionByName, [df.toDF("t") for df in clean])
+    shared = rows.sparkSession.sparkContext.broadcast(np.frombuffer(model.counts, np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trial = Repairer(CharModel(shared.value), 0.0)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([highest_gain(trial, batch.column(0).to_pylist())], pa.float64())], names=["gain"])
+
+    return margin_above(map_arrow(spread(rows), run, "gain double").agg(F.coalesce(F.max("gain"), F.lit(0.0))).first()[0])
 
 
 def find_garbled(documents: DataFrame, clean: list[DataFrame], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, chain, gain, restored`` of each record whose text was decoded wrongly.
 
     ``clean``: one-column frames of texts known to be clean; they join the clean
-    records of ``documents`` in training, and at most ``VALIDATION_ROWS`` of them
-    validate the margin. ``restored`` is null where characters were lost.
+    records of ``documents`` in training, and all of them validate the margin (the
+    model has counted them). ``restored`` is null where characters were lost.
 
     Null, empty and ASCII texts are in order. Long texts are scored whole. Repeated
     rows repeat; ties between chains go to the last name. Further columns are not
@@ -471,8 +492,7 @@ def find_garbled(documents: DataFrame, clean: list[DataFrame], id_column: str =
     id_type = documents.schema[id_column].dataType.simpleString()
     texts = documents.select(F.col(f"`{text_column}`"))
     model = train(texts, clean, train(texts, clean))
-    held = [r[0] for df in clean for r in df.limit(VALIDATION_ROWS).collect()]
-    margin = validated_margin(model, held)
+    margin = margin_over_all(model, clean)
     shared = spark.sparkContext.broadcast(np.frombuffer(model.counts, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

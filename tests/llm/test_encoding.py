@@ -108,3 +108,11 @@ def test_frequent_misreadings_are_scored(spark):
     got = E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string"), []).collect()
     assert {r["doc_id"] for r in got} == set(range(len(good), len(rows)))
     assert {r["restored"] for r in got} <= {g.split(", Nummer")[0] + "." for g in good}
+
+
+def test_every_known_clean_record_validates_the_margin(spark):
+    """The one odd record among the known clean ones counts wherever it stands."""
+    known = [f"Das ist für Gäste Nummer {i} schön." for i in range(2500)] + ["Das f³r ist genau so gemeint."]
+    good = spark.createDataFrame([(t,) for t in known], "t string").coalesce(1)
+    docs = spark.createDataFrame([(1, "Das f³r ist genau so."), (2, "Das ist für Gäste schön.")], "doc_id bigint, text string")
+    assert E.find_garbled(docs, [good]).collect() == []
