@@ -178,7 +178,7 @@ def tables(emitted: DataFrame, tags: Sequence[str]) -> dict[str, DataFrame]:
 
 
 def write_tables(emitted: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Write the stream once, partitioned by tag, and open every table from it."""
+    """Write the stream once, partitioned by tag, and open every table from it; a tag without rows is an empty table."""
     emitted.write.mode("overwrite").partitionBy("tag").parquet(path)
     spark: SparkSession = emitted.sparkSession
-    return tables(spark.read.parquet(path), tuple(SCHEMAS))
+    return tables(spark.read.schema(EMITTED).parquet(path), tuple(SCHEMAS))

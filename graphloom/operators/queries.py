@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import hot_keys, nested, references
-from graphloom.session import table
+from graphloom.session import shared_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,21 +130,22 @@ _P3_MONTHS = (
 )
 
 
+def _p4_tables(spark: SparkSession, sf_dir: str, tags: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The flat tables, written partitioned by tag into the shared folder and read under their schemas."""
+    return nested.write_tables(nested.emit(table(spark, sf_dir, "raw_snapshots"), tags), f"{shared_folder(spark)}/p4-{uuid4()}")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = tuple(nested.ARRAYS)
-    payload = F.from_json("payload", nested.SCHEMAS["section_path"])
-    return (
-        nested.emit(table(spark, sf_dir, "raw_snapshots"), tags)
-        .select("snapshot_id", payload.alias("x"), F.col("tag").alias("field_name"))
-        .select("snapshot_id", "x.passage_id", "field_name", "x.ord", "x.val")
-        .distinct()
-    )
+    flat = _p4_tables(spark, sf_dir, tuple(nested.ARRAYS))
+    parts = [flat[tag].select("snapshot_id", "passage_id", F.lit(tag).alias("field_name"), "ord", "val") for tag in nested.ARRAYS]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def p4_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every flat table per snapshot, repeated deliveries once."""
-    emitted = nested.emit(table(spark, sf_dir, "raw_snapshots"))
-    return emitted.distinct().groupBy("snapshot_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("parent_pk").alias("n_parents"))
+    flat = _p4_tables(spark, sf_dir, tuple(nested.SCHEMAS))
+    rows = reduce(DataFrame.unionByName, [df.select("snapshot_id", F.lit(tag).alias("tag"), "parent_pk") for tag, df in flat.items()])
+    return rows.groupBy("snapshot_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("parent_pk").alias("n_parents"))
 
 
 QUERIES = {

@@ -48,13 +48,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; a local folder only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in ``spark.checkpoint.dir``; a local folder only where none is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

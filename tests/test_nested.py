@@ -1,6 +1,6 @@
 import json
 
-from graphloom.operators import nested
+from graphloom.operators import nested, queries
 
 
 def emit(spark, bodies, tags=tuple(nested.ARRAYS)):
@@ -42,3 +42,19 @@ def test_links_and_written_tables(spark, tmp_path):
     assert {r["parent_pk"] for r in t["fact_ids"].collect()} <= parents
     assert {r["parent_pk"] for r in t["passage"].collect()} == {r["pk"] for r in t["snapshot"].collect()}
     assert nested.emit(df.limit(0)).count() == 0
+
+
+def test_registered_queries_write_and_read_each_tag(spark, small, monkeypatch):
+    """On a whole table: through the written folder, with the rows that the stream holds."""
+    paths, write = [], nested.write_tables
+    monkeypatch.setattr(nested, "write_tables", lambda emitted, path: paths.append(path) or write(emitted, path))
+    found, counts = queries.p4_found(spark, small), queries.p4_child_counts(spark, small)
+    assert len(set(paths)) == 2
+    want = {(sid, p["passage_id"], tag, p["ord"], p["val"]) for r in spark.read.parquet(f"{small}/raw_snapshots.parquet").collect() for tag, sid, _, _, p in nested.visit(r["snapshot_id"], r["body"], frozenset(nested.ARRAYS))}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) > 0
+    assert {r["tag"] for r in counts.collect()} == set(nested.SCHEMAS)
+
+
+def test_no_rows_to_write(spark, tmp_path):
+    df = spark.createDataFrame([("s", None)], "snapshot_id string, body string")
+    assert {t.count() for t in nested.write_tables(nested.emit(df), str(tmp_path / "t")).values()} == {0}
