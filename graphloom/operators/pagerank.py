@@ -111,7 +111,7 @@ def personalised_pagerank(
 
     ``edges``: source_node_id, target_node_id, weight of one corpus; repeated edges
     count again. Up to ``local_edges`` edges run in one task, more as joins. Mass of sinks and of damped hubs is lost. ``epsilon=None`` runs
-    exactly ``max_iterations``. No edges: no scores, converged.
+    exactly ``max_iterations``; ``l1_delta`` is the change of the last one at any size, and nodes without mass have no row. No edges: no scores, converged.
     """
     if max_iterations > MAX_ITERATIONS or len(seeds) > MAX_SEEDS:
         raise GraphError("RESOURCE_LIMIT", "too many iterations or seeds")
@@ -129,7 +129,7 @@ def personalised_pagerank(
     for done in range(1, max_iterations + 1):
         moved = shares.join(scores, F.col("src") == F.col("node_id")).select(F.col("dst").alias("node_id"), (F.col("score") * F.col("share") * kept).alias("new"))
         parts = moved.unionByName(restart).withColumn("old", F.lit(0.0))
-        if epsilon is None:
+        if epsilon is None and done < max_iterations:
             scores = parts.groupBy("node_id").agg(F.sum("new").alias("score"))
             continue
         both = parts.unionByName(scores.select("node_id", F.lit(0.0).alias("new"), F.col("score").alias("old")))
@@ -138,9 +138,10 @@ def personalised_pagerank(
         step = checkpoint(step) if done % CHECKPOINT_EVERY == 0 else step.persist()
         delta = step.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0))).first()[0]
         scores = step.select("node_id", "score")
-        if delta < epsilon:
-            return Ranking(scores, done, True, delta)
-    return Ranking(scores, done, epsilon is None or not max_iterations, delta)
+        if epsilon is not None and delta < epsilon:
+            break
+    converged = epsilon is None or not max_iterations or delta < epsilon
+    return Ranking(scores.filter("score > 0"), done, converged, delta)
 
 
 def top_nodes(scores: DataFrame, prefix: str, limit: int) -> DataFrame:

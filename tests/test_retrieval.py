@@ -105,6 +105,15 @@ def test_pagerank_fixed_iterations(spark):
         assert got.iterations == 3 and {r["node_id"]: r["score"] for r in got.scores.collect()} == pytest.approx(want)
 
 
+def test_pagerank_sizes_agree_on_change_and_rows(spark):
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 0.0), ("d", "a", 1.0)], "source_node_id string, target_node_id string, weight double")
+    for epsilon, steps in ((None, 3), (1e-3, 50), (None, 1)):
+        small, large = (pagerank.personalised_pagerank(df, {"a": 1.0, "d": 0.0}, 0.15, epsilon, steps, 100, local_edges=limit) for limit in (1000, 0))
+        assert large.l1_delta == pytest.approx(small.l1_delta) and large.l1_delta > 0
+        assert (large.iterations, large.converged) == (small.iterations, small.converged)
+        assert {r["node_id"]: r["score"] for r in large.scores.collect()} == pytest.approx({r["node_id"]: r["score"] for r in small.scores.collect()})
+
+
 def test_pagerank_limits(spark):
     empty = spark.createDataFrame([], "source_node_id string, target_node_id string, weight double")
     none = pagerank.personalised_pagerank(empty, {"a": 1.0})
