@@ -5,7 +5,12 @@ corpus. For each text every chain "encode with the codec that was used by mistak
 decode with the right one" is applied wherever the bytes allow it, and the model
 scores the result against the text as stored, on the changed stretches and their
 borders. The likeliest chain is accepted if its gain passes a margin that was
-validated on clean records; repeated for text that went wrong twice.
+validated on clean records; repeated for text that went wrong more than once.
+
+Three passes over the text. The first counts n-grams and gives the distinct words
+with non-ASCII characters; each distinct word is scored once over the corpus, all
+chains together (:mod:`graphloom.llm.screen`). The second takes suspects out of the
+counts, the third scores in full the texts that hold a word some chain gains on.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import map_arrow, spread
+from graphloom.session import checkpoint, map_arrow, shuffle_partitions, spread
 
 #: Size of the hashed count tables of 1-, 2- and 3-grams: the model's proven bound.
 BITS = (16, 19, 21)
@@ -31,7 +36,6 @@ TABLE = _OFFSETS[2] + (1 << BITS[2])
 WEIGHTS = (0.55, 0.3, 0.1499, 0.0001)
 #: Least margin in nats.
 LEAST_MARGIN = 1.8
-ROUNDS = 3
 #: Nats that choose a chain of UTF-8 bytes, which rarely form by chance, over one that could read any bytes; no part of the gain.
 STRUCTURE = 12.0
 #: A word in which every character follows the two before it with more than this log probability is in order; it is scored like any other.
@@ -197,7 +201,9 @@ class Utf8Signs:
 
     def __init__(self, codec: str):
         self.read = CharBytes(codec)
-        of = [(c, self.read[c]) for c in map(chr, range(0x80, 0x10000)) if not "\ud800" <= c <= "\udfff"]
+        pairs = [bytes([b]) for b in range(0x80, 256)] + [bytes([a, b]) for a in range(0x80, 256) for b in range(0x30, 256) if codec in _SEQUENCE]
+        known = {c for b in pairs if (c := decode(b, codec)) is not None and len(c) == 1 and "\x80" <= c < "\U00010000"} | {c for c in self.read if c > "\x7f"}
+        of = [(c, self.read[c]) for c in sorted(known)]
 
         def chars(test) -> str:
             found = "".join(re.escape(c) for c, b in of if b and test(b))
@@ -261,18 +267,72 @@ class CharModel:
             got = memo[gram] = math.log(p)
         return got
 
+    def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        """:meth:`char` at every position of an array of code points; 0 for the first two."""
+        out = np.zeros(len(codes))
+        if len(codes) < 3:
+            return out
+        codes = codes.astype(np.uint64)
+        table = np.frombuffer(self.counts, np.float32)
+        one, two, three = self.buckets(codes)
+        single = codes[1:-1] & np.uint64(_OFFSETS[1] - 1)
+        with np.errstate(over="ignore"):
+            pair = (codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS[1])
+        c1, c1b = table[one].astype(float), table[single].astype(float)
+        c2 = np.minimum(np.minimum(table[_OFFSETS[1] + two.astype(np.int64)], c1), c1b)
+        c2b = np.minimum(table[_OFFSETS[1] + pair.astype(np.int64)], c1b)
+        c3 = np.minimum(np.minimum(table[_OFFSETS[2] + three.astype(np.int64)], c2), c2b)
+        w3, w2, w1, w0 = WEIGHTS
+        out[2:] = np.log(w3 * np.minimum(1.0, c3 / (c2b + 0.5)) + w2 * np.minimum(1.0, c2 / (c1b + 0.5)) + w1 * c1 / self.total + w0 / 65536)
+        return out
+
+    def whole(self, text: str) -> float:
+        """Log probability of a text between spaces."""
+        return float(self.log_probs(np.frombuffer(f"  {text}  ".encode("utf-32-le", "surrogatepass"), np.uint32)).sum())
+
     def score(self, text: str) -> float:
         """Log probability of a text after its first two characters."""
         return sum(self.char(text[i - 2 : i + 1]) for i in range(2, len(text)))
 
 
+def _spaced(text: str) -> str:
+    """The words of a text, two spaces between them."""
+    if not text.isascii():
+        return _SPACE.sub("  ", text).strip(" \t\r\n\f\v")
+    for c in "\t\r\n\f\v":
+        text = text.replace(c, " ")
+    return "  ".join(w for w in text.split(" ") if w)
+
+
+def add_ngrams(sums: np.ndarray, texts: Iterable[str]) -> None:
+    """Count all n-grams of the texts; words stand between two spaces each."""
+    part: list[str] = []
+    size = 0
+    for text in itertools.chain(texts, (None,)):
+        if text is not None:
+            part.append(text)
+            size += len(text)
+        if part and (text is None or size > 100_000):
+            joined = "  ".join(["", *map(_spaced, part), ""])
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            for b, o in zip(CharModel.buckets(codes), _OFFSETS):
+                np.add.at(sums, b.astype(np.int64) + o, 1)
+            part, size = [], 0
+            if text is None:
+                break
+
+
 def count_ngrams(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of all n-grams of the texts; words stand between two spaces each."""
-    joined = _SPACE.sub("  ", "  ".join(["", *texts, ""]))
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(codes) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.unique(np.concatenate([b.astype(np.int64) + o for b, o in zip(CharModel.buckets(codes), _OFFSETS)]), return_counts=True)
+    """(buckets, counts) of :func:`add_ngrams`."""
+    sums = np.zeros(TABLE, np.int64)
+    add_ngrams(sums, texts)
+    hit = np.flatnonzero(sums)
+    return hit, sums[hit]
+
+
+def words_of(text: str) -> list[str]:
+    """The words with non-ASCII characters, which chains are scored on."""
+    return [] if text.isascii() else [w for part in text.split(" ") if not part.isascii() for w in _WORD.findall(part) if not w.isascii()]
 
 
 @cache
@@ -286,38 +346,116 @@ def is_clean(text: str, signs: Iterable[Utf8Signs]) -> bool:
     return text.isascii() or not _UNCLEAN.search(text) and not any(s.found(text) for s in signs)
 
 
-def train(texts: DataFrame, clean: list[DataFrame], first: CharModel | None = None) -> CharModel:
-    """Model of the clean records of ``texts`` and all of ``clean`` (one-column frames); counts cover all rows, the result has a fixed size.
+class CleanTexts:
+    """:func:`is_clean` word by word, each word judged once in a task."""
 
-    With a ``first`` model, records whose words it would repair are no longer clean
-    (one-byte codecs misread into plausible letters, which show no other sign).
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(np.frombuffer(first.counts, np.float32)) if first else None
+    def __init__(self):
+        self.signs = [signs_of(c) for c in READ_AS]
+        self.memo: dict[str, bool] = {}
+
+    def word(self, word: str) -> bool:
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            got = self.memo[word] = is_clean(word, self.signs)
+        return got
+
+    def __call__(self, words: list[str]) -> bool:
+        return all(map(self.word, words))
+
+
+#: What the first pass over the texts gives: n-gram counts, and words with non-ASCII characters.
+_SURVEY = "bucket int, n bigint, word string"
+
+
+def _count_rows(sums: np.ndarray, sign: int = 1) -> Iterator[pa.RecordBatch]:
+    hit = np.flatnonzero(sums)
+    for at in range(0, len(hit), 100_000):
+        part = hit[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sign * sums[part]), pa.nulls(len(part), pa.string())], names=["bucket", "n", "word"])
+
+
+def _collect_counts(rows: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """``counts`` plus the sum of all count rows, at most ``TABLE`` of them."""
+    counted = rows.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = counts.copy()
+    out[counted.column("bucket").to_numpy()] += counted.column("n").to_numpy()
+    return out
+
+
+def _non_ascii(texts: DataFrame) -> DataFrame:
+    return texts.filter(F.col(texts.columns[-1]).rlike(r"[^\x00-\x7F]"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrong = [signs_of(c) for c in READ_AS]
-        judge = Repairer(CharModel(shared.value), SUSPECT) if shared else None
 
-        def suspect(text: str) -> bool:
-            return judge is not None and not text.isascii() and (found := judge.best(text, western=True)) is not None and found[1] > SUSPECT
+def survey(texts: DataFrame, clean: list[DataFrame]) -> DataFrame:
+    """One pass over all texts: n-gram counts of the clean records of ``texts`` and of all of ``clean``, and the words of ``texts``
+    that chains are scored on, each at most a few times a task. Written once; the counts have a fixed size, the words are the corpus' own."""
 
-        sums = np.zeros(TABLE, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, sums, seen = CleanTexts(), np.zeros(TABLE, np.int64), set()
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            buckets, counts = count_ngrams(t for t, known in rows if t and (known or is_clean(t, wrong) and not suspect(t)))
-            sums[buckets] += counts
-        hit = np.flatnonzero(sums)
-        for at in range(0, len(hit), 100_000):
-            part = hit[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["bucket", "n"])
+            new: dict[str, None] = {}
+            learnt = []
+            for text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                words = [] if known else words_of(text)
+                new.update(dict.fromkeys(words))
+                if judge(words):
+                    learnt.append(text)
+            add_ngrams(sums, learnt)
+            if len(seen) > MEMO:
+                seen.clear()
+            words = [w for w in new if w not in seen]
+            seen.update(words)
+            if words:
+                none = pa.nulls(len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none, pa.array(words, pa.string())], names=["bucket", "n", "word"])
+        yield from _count_rows(sums)
 
     rows = texts.toDF("t").withColumn("known", F.lit(False))
     for more in clean:
         rows = rows.unionByName(more.toDF("t").withColumn("known", F.lit(True)))
-    counted = map_arrow(spread(rows), run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(TABLE, np.float32)
-    counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    return CharModel(counts)
+    return checkpoint(map_arrow(spread(rows), run, _SURVEY))
+
+
+def suspicious_words(words: DataFrame, model: CharModel, western: bool = False) -> np.ndarray:
+    """The field (:mod:`graphloom.llm.screen`) of the distinct words that some chain makes likelier; every word is screened once."""
+    from graphloom.llm import screen
+
+    shared = words.sparkSession.sparkContext.broadcast(np.frombuffer(model.counts, np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = screen.field_of((b.column(0).to_pylist() for b in batches), CharModel(shared.value), western)
+        hit = np.flatnonzero(slots)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(slots[hit].view(np.int64))], names=["slot", "bits"])
+
+    found = map_arrow(words, run, "slot int, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = np.zeros(1 << (screen.FILTER_BITS - 6), np.uint64)
+    slots[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return slots
+
+
+def without_suspects(texts: DataFrame, counts: np.ndarray, first: CharModel, slots: np.ndarray) -> np.ndarray:
+    """Counts without the clean-looking records whose words the ``first`` model would repair
+    (one-byte codecs misread into plausible letters, which show no other sign)."""
+    from graphloom.llm.screen import Field
+
+    shared = texts.sparkSession.sparkContext.broadcast((np.frombuffer(first.counts, np.float32), slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = shared.value
+        clean, judge, field, sums = CleanTexts(), Repairer(CharModel(table), SUSPECT), Field(bits), np.zeros(TABLE, np.int64)
+
+        for batch in batches:
+            each = ((t, words_of(t)) for t in batch.column(0).to_pylist())
+            texts = [t for t, words in each if any(w in field for w in words) and clean(words)]
+            judge.prepare(texts, western=True)
+            add_ngrams(sums, [t for t in texts if (found := judge.best(t, western=True)) is not None and found[1] > SUSPECT])
+        yield from _count_rows(sums, -1)
+
+    return _collect_counts(map_arrow(spread(_non_ascii(texts)), run, _SURVEY), counts)
 
 
 class Repairer:
@@ -330,6 +468,7 @@ class Repairer:
         counts = np.frombuffer(model.counts, np.float32)[: _OFFSETS[1]]
         top = np.argsort(-counts, kind="stable")[:300]
         self.common = [chr(c) for c in top if counts[c] > 0 and not 0xD800 <= c < 0xE000]
+        self._screen = None
 
     def gain(self, before: str, old: str, new: str, after: str) -> float:
         before, after = before[-2:], after[:2]
@@ -340,9 +479,7 @@ class Repairer:
         got = self.memo.get(word)
         if got is not None:
             return got
-        out, padded, char = [], f"  {word}  ", self.model.char
-        if "\ufffd" in word:
-            out.append((("lossy", ""), self.lossy(padded), word))
+        out, padded, char = self._replaced(word), f"  {word}  ", self.model.char
         each = [char(padded[i - 2 : i + 1]) for i in range(2, len(padded))]
         least = -IN_ORDER if min(each) > (UNUSUAL if _WESTERN.search(word) else UNUSUAL_CJK) else -math.inf
         upto = [0.0, 0.0, *itertools.accumulate(each)]
@@ -377,15 +514,36 @@ class Repairer:
         self.memo[word] = out
         return out
 
+    def _replaced(self, word: str) -> list[tuple[tuple[str, str], float, str]]:
+        return [(("lossy", ""), self.lossy(f"  {word}  "), word)] if "\ufffd" in word else []
+
     def lossy(self, padded: str) -> float:
         """Gain of any fitting character in place of each replacement character."""
         total, text = 0.0, padded
-        while (i := text.find("�")) >= 0:
-            best = max(((self.gain(text[:i], "�", c, text[i + 1 :]), c) for c in self.common), default=(0.0, "?"))
+        while (i := text.find("\ufffd")) >= 0:
+            around = [ord(x) for x in (text[i - 2], text[i - 1], "\ufffd", text[i + 1], text[i + 2])]
+            tails = np.tile(np.array(around, np.uint64), (len(self.common) + 1, 1))
+            tails[1:, 2] = [ord(c) for c in self.common]
+            log = self.model.log_probs(tails.ravel()).reshape(tails.shape)[:, 2:].sum(axis=1)
+            gains = log[1:] - log[0]
+            best = max(zip(gains.tolist(), self.common), default=(0.0, "?"))
             total += max(0.0, best[0])
             text = text[:i] + best[1] + text[i + 1 :]
         return total
 
+    def prepare(self, texts: Iterable[str], western: bool = False) -> None:
+        """Score the words of these texts together; the same results as one by one."""
+        new = [w for w in dict.fromkeys(w for t in texts for w in words_of(t)) if w not in self.memo and not (western and max(w) >= "\u2e80")]
+        if new:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            if self._screen is None:
+                from graphloom.llm.screen import Screen
+
+                self._screen = Screen(self.model)
+            for word, scores in self._screen.scores(new).items():
+                self.memo[word] = self._replaced(word) + scores
+
     def best(self, text: str, only_utf8: bool = False, western: bool = False) -> tuple[tuple[str, str], float, str] | None:
         """The chain with the highest gain over the whole text; bytes that form UTF-8 count for themselves.
 
@@ -430,23 +588,31 @@ class Repairer:
 
     def repair(self, text: str | None) -> tuple[str, float, str | None] | None:
         """(chains, gain, restored text or None if bytes were lost); None for a text that is in order."""
-        if not text or text.isascii():
-            return None
-        chains, total, now, lossy = [], 0.0, text, False
-        for k in range(ROUNDS):
-            found = self.best(now, only_utf8=k > 0)
-            if found is None or found[1] <= self.margin:
-                break
-            chain, g, fixed = found
-            chains.append(">".join(filter(None, chain)))
-            total += g
-            if chain[0] == "lossy" or fixed == now:
-                lossy = True
-                break
-            now = fixed
-        if not chains:
-            return None
-        return " ".join(chains), total, None if lossy or "�" in now else now
+        return self.repair_all([text])[0]
+
+    def repair_all(self, texts: list[str | None]) -> list[tuple[str, float, str | None] | None]:
+        """:meth:`repair` of each text. What was repaired is scored again for bytes that form UTF-8 (text that went wrong more than once) as long as the whole text gains more than the margin."""
+        now = {i: t for i, t in enumerate(texts) if t and not t.isascii()}
+        done: dict[int, tuple[list[str], float, bool]] = {}
+        open_ = list(now)
+        while open_:
+            self.prepare(now[i] for i in open_)
+            following = []
+            for i in open_:
+                found = self.best(now[i], only_utf8=i in done)
+                if found is None or found[1] <= self.margin:
+                    continue
+                chain, g, fixed = found
+                if i in done and self.model.whole(fixed) <= self.model.whole(now[i]) + self.margin:
+                    continue
+                chains, total, _ = done.get(i, ([], 0.0, False))
+                lossy = chain[0] == "lossy" or fixed == now[i]
+                done[i] = [*chains, ">".join(filter(None, chain))], total + g, lossy
+                if not lossy:
+                    now[i] = fixed
+                    following.append(i)
+            open_ = following
+        return [(" ".join(done[i][0]), done[i][1], None if done[i][2] or "\ufffd" in now[i] else now[i]) if i in done else None for i in range(len(texts))]
 
 
 def highest_gain(repairer: Repairer, clean: Iterable[str]) -> float:
@@ -488,20 +654,26 @@ def find_garbled(documents: DataFrame, clean: list[DataFrame], id_column: str =
     rows repeat; ties between chains go to the last name. Further columns are not
     read; empty tables give no rows.
     """
+    from graphloom.llm.screen import Field
+
     spark = documents.sparkSession
     id_type = documents.schema[id_column].dataType.simpleString()
     texts = documents.select(F.col(f"`{text_column}`"))
-    model = train(texts, clean, train(texts, clean))
+    surveyed = survey(texts, clean)
+    tasks = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+    words = surveyed.filter("word IS NOT NULL").select("word").repartition(tasks, "word").distinct()
+    counts = _collect_counts(surveyed, np.zeros(TABLE, np.float32))
+    first = CharModel(counts)
+    model = CharModel(without_suspects(texts, counts, first, suspicious_words(words, first, western=True)))
     margin = margin_over_all(model, clean)
-    shared = spark.sparkContext.broadcast(np.frombuffer(model.counts, np.float32))
+    shared = spark.sparkContext.broadcast((np.frombuffer(model.counts, np.float32), suspicious_words(words, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(CharModel(shared.value), margin)
+        table, bits = shared.value
+        repairer, field = Repairer(CharModel(table), margin), Field(bits)
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if found := repairer.repair(text):
-                    rows.append((i, *found))
+            texts = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if any(w in field for w in words_of(t))]
+            rows = [(i, *found) for (i, _), found in zip(texts, repairer.repair_all([t for _, t in texts])) if found]
             if rows:
                 at, chain, gain, restored = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -509,6 +681,5 @@ def find_garbled(documents: DataFrame, clean: list[DataFrame], id_column: str =
                     names=[id_column, "chain", "gain", "restored"],
                 )
 
-    return map_arrow(
-        spread(documents.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))), run, f"`{id_column}` {id_type}, chain string, gain double, restored string"
-    )
+    rows = _non_ascii(documents.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")))
+    return map_arrow(spread(rows), run, f"`{id_column}` {id_type}, chain string, gain double, restored string")
