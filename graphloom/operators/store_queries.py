@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.errors import GraphError
 from graphloom.functions.scalar import document_ids, fold, merge_token, utf16_key
 from graphloom.operators import delete_document as dd
 from graphloom.operators import pagerank, retrieval, store
@@ -15,6 +16,7 @@ from graphloom.sources.fixtures import with_views
 CORPUS, MEMORY = "tpch", "memory"
 LARGE = "corpus-coastal-health"
 SEEDS = {"entity:user 1": 0.9, "entity:key 7": 0.5, "entity:nobody": 1.0}
+PPR_EPSILON = 1e-4
 FACT_SEEDS = {"user 1": 0.9, "key 7": 0.5}
 WANTED = ["7", "3", "7", "none", "12"]
 
@@ -156,9 +158,15 @@ def ppr_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_converged(spark: SparkSession, d: str) -> DataFrame:
-    ranking = pagerank.personalised_pagerank(fixtures.m_edges(spark, d).filter("weight > 0"), SEEDS, 0.15, 1e-6, 64, 100)
-    best = [pagerank.top_nodes(ranking.scores, p, n).withColumn("kind", F.lit(p.rstrip(":"))) for p, n in (("passage:", 20), ("fact:", 20))]
-    return best[0].unionByName(best[1]).withColumn("iterations", F.lit(ranking.iterations)).withColumn("converged", F.lit(ranking.converged))
+    """Ranks, stored items, rounds and last change of a ranking that converges."""
+    ranking = pagerank.personalised_pagerank(fixtures.m_edges(spark, d).filter("weight > 0"), SEEDS, 0.15, PPR_EPSILON, 128, 100)
+    if not ranking.converged:
+        raise GraphError("INTEGRITY", "the ranking did not converge")
+    ranking.scores = ranking.scores.withColumn("score", F.round("score", 9))
+    passages = fixtures.g_lexical(spark, d).select(F.concat(F.lit("passage:"), "passage_id").alias("node_id"), F.col("document_id").alias("payload"))
+    facts = fixtures.g_facts(spark, d).select(F.concat(F.lit("fact:"), "fact_id").alias("node_id"), F.col("state").alias("payload"))
+    out = pagerank.materialise(ranking, {"passage:": (20, passages), "fact:": (20, facts)})
+    return out.withColumn("l1_delta", F.round("l1_delta", 9))
 
 
 def _delta(nodes: DataFrame) -> DataFrame:
@@ -324,6 +332,25 @@ sh AS (SELECT e.source_node_id AS src, e.target_node_id AS dst, e.weight / a.o *
 seed AS (SELECT * FROM (VALUES ('entity:user 1', CAST(0.9 AS DOUBLE)), ('entity:key 7', CAST(0.5 AS DOUBLE)), ('entity:nobody', CAST(1 AS DOUBLE))) t(node, s) WHERE node IN (SELECT node FROM deg)),
 s0 AS (SELECT node, s / (SELECT sum(s) FROM seed) AS score FROM seed)"""
 )
+_PPR_CONVERGED = (
+    _PPR_HEAD.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """,
+it(i, node, score, delta) AS (
+  SELECT 0, node, score, CAST(1 AS DOUBLE) FROM s0
+  UNION ALL
+  SELECT i, node, score, sum(abs(score - old)) OVER () FROM (
+    SELECT max(i) AS i, node, sum(new) AS score, sum(old) AS old FROM (
+      SELECT i + 1 AS i, dst AS node, score * share * 0.85 AS new, CAST(0 AS DOUBLE) AS old FROM it JOIN sh ON src = it.node WHERE delta >= {eps} AND i < 128
+      UNION ALL SELECT i + 1, node, 0, score FROM it WHERE delta >= {eps} AND i < 128
+      UNION ALL SELECT k.i + 1, s0.node, s0.score * 0.15, 0 FROM s0, (SELECT DISTINCT i FROM it WHERE delta >= {eps} AND i < 128) k)
+    GROUP BY node)),
+last AS (SELECT * FROM it WHERE i = (SELECT max(i) FROM it)),
+best AS (SELECT split_part(node, ':', 1) AS kind, node AS node_id, round(score, 9) AS score, i, delta, row_number() OVER (PARTITION BY split_part(node, ':', 1) ORDER BY round(score, 9) DESC, node) AS rank FROM last WHERE node LIKE 'passage:%' OR node LIKE 'fact:%'),
+items AS (SELECT 'passage:' || CAST(doc_id AS VARCHAR) AS node_id, source AS payload FROM documents UNION ALL SELECT 'fact:' || fact_id, state FROM g_facts)
+
+SELECT kind, CAST(rank AS INTEGER) AS rank, node_id, score, payload, CAST(i AS INTEGER) AS iterations, delta < {eps} AS converged, round(delta, 9) AS l1_delta FROM best LEFT JOIN items USING (node_id) WHERE rank <= 20
+"""
+)
 _PPR_STEP = """,
 s{k} AS (SELECT node, sum(x) AS score FROM (SELECT dst AS node, score * share * 0.85 AS x FROM sh JOIN s{j} ON src = node UNION ALL SELECT node, score * 0.15 FROM s0) GROUP BY node)"""
 _FACTS_SQL = _F + "SELECT {c} FROM g_facts "
@@ -400,6 +427,7 @@ SQL = {
     "lexical_search": _L + f"SELECT passage_id, score FROM (SELECT passage_id, {_COUNT.format(t='the')} * 2 + {_COUNT.format(t='and')} + {_COUNT.format(t='ing')} AS score FROM g_lexical) WHERE score > 0 ORDER BY score DESC, passage_id LIMIT 25",
     "fact_expand": _F + "SELECT fact_id, round(greatest(CASE lower(head_entity) WHEN 'user 1' THEN 0.9 WHEN 'key 7' THEN 0.5 ELSE 0 END, CASE lower(tail_entity) WHEN 'user 1' THEN 0.9 WHEN 'key 7' THEN 0.5 ELSE 0 END) * CAST(0.8 AS DOUBLE), 9) AS score FROM g_facts WHERE fact_id <> 'f4' AND (lower(head_entity) IN ('user 1', 'key 7') OR lower(tail_entity) IN ('user 1', 'key 7')) ORDER BY score DESC, fact_id LIMIT 64",
     "ppr_fixed_iters": _PPR_HEAD + "".join(_PPR_STEP.format(k=k, j=k - 1) for k in (1, 2, 3)) + "\nSELECT node AS node_id, round(score, 9) AS score FROM s3 WHERE round(score, 9) > 0",
+    "ppr_converged": _PPR_CONVERGED.replace("{eps}", "CAST(1e-4 AS DOUBLE)"),
     "upsert_nodes_post": _N + "SELECT * FROM g_nodes WHERE label <> 'Region' UNION ALL SELECT corpus_id, node_id, 'updated', CASE WHEN node_id = 'region:2' THEN 'Twice' ELSE label END FROM g_nodes WHERE label = 'Region' UNION ALL SELECT 'tpch', 'region:new', 'updated', 'Region'",
     "upsert_edges_post": _E + "SELECT corpus_id, edge_id, source_node_id, target_node_id, relation, CASE WHEN relation = 'IN_REGION' THEN CAST(9 AS DOUBLE) ELSE weight END AS weight FROM g_edges",
     "delete_nodes_post": _NE + "SELECT 'node' AS kind, node_id AS id FROM g_nodes WHERE node_id NOT IN ('nation:3', 'order:1', 'missing:1') UNION ALL SELECT 'edge', edge_id FROM g_edges WHERE source_node_id NOT IN ('nation:3', 'order:1', 'missing:1') AND target_node_id NOT IN ('nation:3', 'order:1', 'missing:1')",
