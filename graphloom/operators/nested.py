@@ -7,6 +7,7 @@ partitioned by tag, or read back per tag under that table's schema.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -18,14 +19,14 @@ from graphloom.session import map_arrow, spread
 
 EMITTED = "tag string, snapshot_id string, pk string, parent_pk string, payload string"
 
-#: Payload schema of each table.
+#: Payload schema of each table; ``rest`` is the JSON of all fields that have neither a column nor a table of their own.
 SCHEMAS = {
-    "snapshot": "corpus_id string, schema_version bigint, exported_at string",
-    "passage": "passage_id string, ord bigint, corpus_id string, text string, normalized_text string, quality_score double, created_at string, updated_at string, document_id string, language string, title string",
+    "snapshot": "corpus_id string, schema_version bigint, exported_at string, rest string",
+    "passage": "passage_id string, ord bigint, corpus_id string, text string, normalized_text string, quality_score double, created_at string, updated_at string, document_id string, language string, title string, rest string",
     "section_path": "passage_id string, ord bigint, val string",
     "entity_mentions": "passage_id string, ord bigint, val string",
     "fact_ids": "passage_id string, ord bigint, val string",
-    "fact": "fact_id string, ord bigint, state string",
+    "fact": "fact_id string, ord bigint, state string, rest string",
     "fact_passage": "fact_id string, ord bigint, val string",
 }
 
@@ -38,6 +39,16 @@ _FIELDS = {
 }
 
 
+_PASSAGE = frozenset({"passageId", "entityMentions", "factIds", *_FIELDS.values()})
+_META = frozenset({"documentId", "language", "title", "sectionPath"})
+
+
+def _rest(item: dict, taken: Iterable[str]) -> str | None:
+    """Canonical JSON of the other fields, null if there are none."""
+    other = {k: v for k, v in item.items() if k not in taken}
+    return _text(json.dumps(other, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) if other else None
+
+
 def _reject(token: str) -> None:
     raise ValueError(token)
 
@@ -98,13 +109,15 @@ def visit(snapshot_id: str | None, body: str | None, tags: frozenset[str]) -> It
     snap = open_snapshot(body)
     if snap is None:
         return
-    root = f"{snapshot_id}"
+    # two bodies under one id have keys of their own, a repeated delivery has the same
+    root = f"{snapshot_id}/{hashlib.blake2b(body.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
     if "snapshot" in tags:
         version = snap.get("schemaVersion")
         yield "snapshot", snapshot_id, root, None, {
             "corpus_id": _text(snap.get("corpusId")),
             "schema_version": version if isinstance(version, int) else None,
             "exported_at": _text(snap.get("exportedAt")),
+            "rest": _rest(snap, ("schemaVersion", "corpusId", "exportedAt", "passages", "facts")),
         }
     for i, key, item in _items(snap.get("passages")):
         pid = item.get("passageId")
@@ -115,6 +128,7 @@ def visit(snapshot_id: str | None, body: str | None, tags: frozenset[str]) -> It
         if "passage" in tags:
             scalars = {c: item.get(f) for c, f in _FIELDS.items()} | {c: meta.get(f) for c, f in (("document_id", "documentId"), ("language", "language"), ("title", "title"))}
             payload = {c: v if c == "quality_score" and isinstance(v, (int, float)) else _text(v) for c, v in scalars.items() if not isinstance(v, (dict, list))}
+            payload["rest"] = _rest({f: x for f, x in item.items() if f != "metadata" or not meta} | ({"metadata": {f: x for f, x in meta.items() if f not in _META}} if meta.keys() - _META else {}), _PASSAGE)
             yield "passage", snapshot_id, pk, root, {"passage_id": pid, "ord": i} | payload
         for tag, value in (("section_path", meta.get("sectionPath")), ("entity_mentions", item.get("entityMentions")), ("fact_ids", item.get("factIds"))):
             if tag in tags:
@@ -127,7 +141,7 @@ def visit(snapshot_id: str | None, body: str | None, tags: frozenset[str]) -> It
             pk = f"{root}/f{i}"
             if "fact" in tags:
                 state = item.get("state")
-                yield "fact", snapshot_id, pk, root, {"fact_id": fid, "ord": i, "state": None if isinstance(state, (dict, list)) else _text(state)}
+                yield "fact", snapshot_id, pk, root, {"fact_id": fid, "ord": i, "state": None if isinstance(state, (dict, list)) else _text(state), "rest": _rest(item, ("factId", "state", "passageIds"))}
             if "fact_passage" in tags:
                 for j, x in elements(item.get("passageIds"), "passageId"):
                     yield "fact_passage", snapshot_id, f"{pk}/fact_passage/{j}", pk, {"fact_id": fid, "ord": j, "val": x}

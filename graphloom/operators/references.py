@@ -130,7 +130,7 @@ def frequent_keys(refs: DataFrame, ranges: int) -> list[str]:
 
     The sketch only steers placement: a key it misses stays in one range.
     """
-    row = refs.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(key, {min(ranges, 1000)}, {max(1000, 4 * min(ranges, 1000))})").alias("top")).first()
+    row = refs.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(key, {ranges}, {max(1000, 4 * ranges)})").alias("top")).first()
     if not row or not row["n"]:
         return []
     return [x["item"] for x in row["top"] if x["item"] is not None and x["count"] * ranges > row["n"]]

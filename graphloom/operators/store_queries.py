@@ -139,7 +139,9 @@ def candidate_search(spark: SparkSession, d: str) -> DataFrame:
     q, _ = _query_vector(spark, d)
     slots = [{"slot_id": f"s{i}", "namespace": f"label{i}", "query": q, "threshold": -1.0, "limit": 5 + i} for i in range(3)]
     items = fixtures.g_lexical(spark, d).select(F.concat(F.lit("passage:"), "passage_id").alias("id"), F.col("document_id").alias("payload"))
-    vectors = fixtures.g_vectors(spark, d).join(items.select("id"), "id", "left_semi")
+    # vectors beyond the documents have an item without payload
+    vectors = fixtures.g_vectors(spark, d)
+    items = vectors.select("id").join(items, "id", "left")
     return retrieval.candidate_search(vectors, MEMORY, slots, items).select("slot_id", "rank", "id", F.round("score", 6).alias("score"), "payload")
 
 
@@ -197,7 +199,7 @@ def delete_nodes_post(spark: SparkSession, d: str) -> DataFrame:
 
 def delete_edges_post(spark: SparkSession, d: str) -> DataFrame:
     ids = spark.createDataFrame([(CORPUS, f"in-region:{i}") for i in range(3)], "corpus_id string, edge_id string")
-    return fixtures.g_edges(spark, d).join(F.broadcast(ids), ["corpus_id", "edge_id"], "left_anti").select("edge_id")
+    return store.delete_edges(fixtures.g_edges(spark, d), ids).select("edge_id")
 
 
 def delete_by_document_post(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +215,8 @@ def delete_by_document_post(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delete_by_corpus_post(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, t).filter(~F.col("corpus_id").eqNullSafe(F.lit(LARGE))).groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(t)) for t in ("nodes", "edges", "mem_passages", "mem_facts", "mem_schemas")]
+    after = store.delete_by_corpus({t: table(spark, d, t) for t in ("nodes", "edges", "mem_passages", "mem_facts", "mem_schemas")}, LARGE)
+    parts = [df.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(t)) for t, df in after.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -223,15 +226,15 @@ def delete_by_corpus_post(spark: SparkSession, d: str) -> DataFrame:
 def vector_upsert_post(spark: SparkSession, d: str) -> DataFrame:
     vectors = fixtures.g_vectors(spark, d)
     delta = vectors.filter("document_id IN ('1', '2')").withColumn("namespace", F.lit("moved"))
-    return store.upsert(vectors, delta, ["corpus_id", "id"]).select("id", "namespace")
+    return store.upsert_vectors(vectors, delta).select("id", "namespace")
 
 
 def vector_delete_post(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.g_vectors(spark, d).filter(~F.col("document_id").eqNullSafe(F.lit("3"))).select("id")
+    return store.delete_document_rows(fixtures.g_vectors(spark, d), MEMORY, "3").select("id")
 
 
 def lexical_delete_post(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.g_lexical(spark, d).filter(~F.col("document_id").eqNullSafe(F.lit("survey"))).select("passage_id")
+    return store.delete_document_rows(fixtures.g_lexical(spark, d), MEMORY, "survey").select("passage_id")
 
 
 def memory_upsert_post(spark: SparkSession, d: str) -> DataFrame:
@@ -255,6 +258,52 @@ def schema_merge_post(spark: SparkSession, d: str) -> DataFrame:
     return out.select("corpus_id", "schema_id", "frequency", F.size("fact_ids").alias("facts"), F.get("source_document_ids", F.size("source_document_ids") - 1).alias("last_document"), F.size("aliases").alias("aliases"))
 
 
+def schema_create_post(spark: SparkSession, d: str) -> DataFrame:
+    """The large corpus' schemas created under new ids beside all stored ones."""
+    stored = _latest_schemas(spark, d)
+    rest = [c for c in stored.columns if c not in ("corpus_id", "schema_id")]
+    intents = stored.filter(F.col("corpus_id") == LARGE).select(
+        "corpus_id", F.concat("schema_id", F.lit("-new")).alias("schema_id"), F.lit(None).cast("string").alias("token"), F.lit("doc-new").alias("document_id"), F.lit(1).cast("bigint").alias("frequency_delta"),
+        "fact_ids", "aliases", F.lit("create").alias("mode"), F.struct(*rest).alias("created"),
+    )
+    return store.schema_merge(stored, intents).select("corpus_id", "schema_id", "frequency", F.size("fact_ids").alias("facts"), "relation")
+
+
+def upsert_duplicates_post(spark: SparkSession, d: str) -> DataFrame:
+    """Stored versions of nodes merged by key into those without a corpus: of repeated keys the last delivery stays."""
+    nodes = table(spark, d, "nodes").select("corpus_id", "node_id", F.coalesce("label", F.lit("-")).alias("label"), "ingested_at")
+    delta = nodes.withColumn("_o", F.struct("ingested_at", "label"))
+    return store.upsert(nodes.limit(0), delta, ["corpus_id", "node_id"], "_o").select("corpus_id", "node_id", "label")
+
+
+def schema_nodes_post(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes after an upsert that hydrates the nodes of the large corpus' schemas."""
+    nodes = table(spark, d, "nodes").select("corpus_id", "node_id", "layer", "ref", "label").filter("layer = 'ontology'").dropDuplicates(["corpus_id", "node_id"])
+    schemas = _latest_schemas(spark, d)
+    wanted = schemas.filter(F.col("corpus_id") == LARGE).select("corpus_id", "schema_id")
+    out = store.upsert_nodes(nodes, nodes.limit(0).withColumn("_o", F.lit(1)), "_o", schemas, wanted)
+    return out.filter(F.col("corpus_id") == LARGE).select("node_id", F.when(F.col("ref").contains('"schemaId"'), "schema").otherwise("other").alias("kind"))
+
+
+def integrity_report(spark: SparkSession, d: str) -> DataFrame:
+    passages, facts, _ = _memory(spark, d)
+    return store.integrity(table(spark, d, "nodes"), table(spark, d, "edges"), facts, passages)
+
+
+def job_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints of one job per source, one of them saved again, and read back."""
+    jobs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("job_id")).distinct().withColumn("body", F.lit("{}"))
+    saved = store.save_checkpoint(jobs, "survey", "c", ["d1", "d2"], "t1")
+    return store.load_checkpoint(saved, "survey")
+
+
+def vector_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of every namespace after an upsert of all of them, checked."""
+    vectors = fixtures.g_vectors(spark, d)
+    out = store.upsert_vectors(vectors, vectors.withColumn("namespace", F.concat(F.lit("checked-"), "namespace")))
+    return out.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("values")).alias("dimensions"))
+
+
 def activate_facts_post(spark: SparkSession, d: str) -> DataFrame:
     facts = fixtures.g_facts(spark, d).withColumn("updated_at", F.lit("old"))
     return store.activate_facts(facts, ["view", "click"], "now").select("fact_id", "state", "updated_at")
@@ -392,7 +441,7 @@ QUERIES = {
         scan_nodes, scan_edges, get_node, get_nodes_layer, get_edges_source, get_adjacent, dangling_nodes, node_count, graph_admission, section_counts, memory_load, transitions, transitions_page, passages_by_ids,
         facts_by_ids, schemas_by_ids, facts_by_entities, active_facts, schema_projection, schema_merge_token, entity_fold, utf16_order, doc_ids_from_ref, vector_search, vector_search_threshold, candidate_search,
         lexical_search, fact_expand, ppr_fixed_iters, ppr_converged, upsert_nodes_post, upsert_edges_post, delete_nodes_post, delete_edges_post, delete_by_document_post, delete_by_corpus_post, vector_upsert_post,
-        vector_delete_post, lexical_delete_post, memory_upsert_post, schema_merge_post, activate_facts_post, delete_document_counts, delete_document_nodes, delete_document_edges, delete_document_vectors,
+        vector_delete_post, lexical_delete_post, memory_upsert_post, schema_merge_post, schema_create_post, upsert_duplicates_post, schema_nodes_post, integrity_report, job_checkpoint, vector_validate, activate_facts_post, delete_document_counts, delete_document_nodes, delete_document_edges, delete_document_vectors,
         delete_document_facts, delete_document_schemas,
     )
 }
@@ -423,7 +472,7 @@ SQL = {
     "doc_ids_from_ref": "SELECT 'fact' AS kind, fact_id AS id, unnest(json_extract_string(raw, '$.sourceDocumentIds[*]')) AS document_id FROM mem_facts UNION ALL SELECT 'passage', passage_id, json_extract_string(raw, '$.metadata.documentId') FROM mem_passages WHERE json_extract_string(raw, '$.metadata.documentId') IS NOT NULL",
     "vector_search": _SCORED + "SELECT id, score FROM h ORDER BY exact DESC, id LIMIT 10",
     "vector_search_threshold": _SCORED + "SELECT id, score FROM h WHERE exact >= 0.1 ORDER BY exact DESC, id LIMIT 10000",
-    "candidate_search": with_views("g_vectors", "g_lexical").rstrip() + f",\nh AS (SELECT 's' || substr(namespace, 6) AS slot_id, CAST(substr(namespace, 6) AS INTEGER) AS k, v.id, list_cosine_similarity(vals, {_Q}) AS exact, l.document_id AS payload FROM g_vectors v JOIN g_lexical l ON v.id = 'passage:' || l.passage_id WHERE namespace IN ('label0', 'label1', 'label2')),\nr AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY exact DESC, id) AS rank FROM h)\nSELECT slot_id, CAST(rank AS INTEGER) AS rank, id, round(exact, 6) AS score, payload FROM r WHERE rank <= 5 + k",
+    "candidate_search": with_views("g_vectors", "g_lexical").rstrip() + f",\nh AS (SELECT 's' || substr(namespace, 6) AS slot_id, CAST(substr(namespace, 6) AS INTEGER) AS k, v.id, list_cosine_similarity(vals, {_Q}) AS exact, l.document_id AS payload FROM g_vectors v LEFT JOIN g_lexical l ON v.id = 'passage:' || l.passage_id WHERE namespace IN ('label0', 'label1', 'label2')),\nr AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY exact DESC, id) AS rank FROM h)\nSELECT slot_id, CAST(rank AS INTEGER) AS rank, id, round(exact, 6) AS score, payload FROM r WHERE rank <= 5 + k",
     "lexical_search": _L + f"SELECT passage_id, score FROM (SELECT passage_id, {_COUNT.format(t='the')} * 2 + {_COUNT.format(t='and')} + {_COUNT.format(t='ing')} AS score FROM g_lexical) WHERE score > 0 ORDER BY score DESC, passage_id LIMIT 25",
     "fact_expand": _F + "SELECT fact_id, round(greatest(CASE lower(head_entity) WHEN 'user 1' THEN 0.9 WHEN 'key 7' THEN 0.5 ELSE 0 END, CASE lower(tail_entity) WHEN 'user 1' THEN 0.9 WHEN 'key 7' THEN 0.5 ELSE 0 END) * CAST(0.8 AS DOUBLE), 9) AS score FROM g_facts WHERE fact_id <> 'f4' AND (lower(head_entity) IN ('user 1', 'key 7') OR lower(tail_entity) IN ('user 1', 'key 7')) ORDER BY score DESC, fact_id LIMIT 64",
     "ppr_fixed_iters": _PPR_HEAD + "".join(_PPR_STEP.format(k=k, j=k - 1) for k in (1, 2, 3)) + "\nSELECT node AS node_id, round(score, 9) AS score FROM s3 WHERE round(score, 9) > 0",
@@ -439,6 +488,19 @@ SQL = {
     "lexical_delete_post": _L + "SELECT passage_id FROM g_lexical WHERE document_id IS DISTINCT FROM 'survey'",
     "memory_upsert_post": _F + "SELECT corpus_id, pos, fact_id, CASE WHEN fact_id = 'f3' THEN 'last' ELSE state END AS state FROM g_facts UNION ALL SELECT 'memory', (SELECT max(pos) FROM g_facts) + 1, 'f-b', 'new' UNION ALL SELECT 'memory', (SELECT max(pos) FROM g_facts) + 2, 'f-a', 'new'",
     "schema_merge_post": f"WITH s AS ({_LATEST}) SELECT corpus_id, schema_id, CASE WHEN corpus_id = '{LARGE}' THEN coalesce(frequency, 0) + 1 ELSE frequency END AS frequency, CAST(len(fact_ids) + CASE WHEN corpus_id = '{LARGE}' THEN 1 ELSE 0 END AS INTEGER) AS facts, CASE WHEN corpus_id = '{LARGE}' THEN 'doc-new' ELSE source_document_ids[-1] END AS last_document, CAST(len(aliases) + CASE WHEN corpus_id = '{LARGE}' THEN 1 ELSE 0 END AS INTEGER) AS aliases FROM s",
+    "schema_create_post": f"WITH s AS ({_LATEST}) SELECT corpus_id, schema_id, frequency, CAST(len(fact_ids) AS INTEGER) AS facts, relation FROM s UNION ALL SELECT corpus_id, schema_id || '-new', frequency, CAST(len(fact_ids) AS INTEGER), relation FROM s WHERE corpus_id = '{LARGE}'",
+    "upsert_duplicates_post": "SELECT corpus_id, node_id, coalesce(label, '-') AS label FROM nodes QUALIFY row_number() OVER (PARTITION BY corpus_id, node_id ORDER BY ingested_at DESC, coalesce(label, '-') DESC) = 1",
+    "schema_nodes_post": f"WITH s AS (SELECT DISTINCT 'schema:' || schema_id AS node_id FROM mem_schemas WHERE corpus_id = '{LARGE}'), n AS (SELECT DISTINCT node_id, CASE WHEN first(ref) LIKE '%\"schemaId\"%' THEN 'schema' ELSE 'other' END AS kind FROM nodes WHERE layer = 'ontology' AND corpus_id = '{LARGE}' GROUP BY node_id) SELECT node_id, kind FROM n WHERE node_id NOT IN (SELECT node_id FROM s) UNION ALL SELECT node_id, 'schema' FROM s",
+    "integrity_report": """SELECT 'duplicate_node' AS "check", corpus_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT corpus_id FROM nodes GROUP BY corpus_id, node_id HAVING count(*) > 1) GROUP BY corpus_id
+UNION ALL SELECT 'duplicate_edge', corpus_id, count(*) FROM (SELECT corpus_id FROM edges GROUP BY corpus_id, edge_id HAVING count(*) > 1) GROUP BY corpus_id
+UNION ALL SELECT 'duplicate_fact', corpus_id, count(*) FROM (SELECT corpus_id FROM mem_facts GROUP BY corpus_id, fact_id HAVING count(*) > 1) GROUP BY corpus_id
+UNION ALL SELECT 'duplicate_passage', corpus_id, count(*) FROM (SELECT corpus_id FROM mem_passages GROUP BY corpus_id, passage_id HAVING count(*) > 1) GROUP BY corpus_id
+UNION ALL SELECT 'dangling_source', corpus_id, count(*) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.corpus_id = e.corpus_id AND n.node_id = e.source_node_id) GROUP BY corpus_id
+UNION ALL SELECT 'dangling_target', corpus_id, count(*) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.corpus_id = e.corpus_id AND n.node_id = e.target_node_id) GROUP BY corpus_id
+UNION ALL SELECT 'bad_weight', corpus_id, count(*) FROM edges WHERE weight < 0 OR isnan(weight) OR isinf(weight) GROUP BY corpus_id
+UNION ALL SELECT 'missing_evidence', corpus_id, count(*) FROM (SELECT corpus_id, unnest(passage_ids) AS p FROM mem_facts) f WHERE NOT EXISTS (SELECT 1 FROM mem_passages m WHERE m.corpus_id = f.corpus_id AND m.passage_id = f.p) GROUP BY corpus_id""",
+    "job_checkpoint": """SELECT 'survey' AS job_id, '{"corpusId":"c","jobId":"survey","processedDocumentIds":["d1","d2"],"updatedAt":"t1"}' AS body""",
+    "vector_validate": _V + "SELECT 'checked-' || namespace AS namespace, CAST(count(*) AS BIGINT) AS n, CAST(max(len(vals)) AS INTEGER) AS dimensions FROM g_vectors GROUP BY 1",
     "activate_facts_post": _F + "SELECT fact_id, CASE WHEN schema_id IN ('view', 'click') THEN 'active' ELSE state END AS state, CASE WHEN schema_id IN ('view', 'click') AND state = 'inactive' THEN 'now' ELSE 'old' END AS updated_at FROM g_facts",
     "delete_document_counts": _DELETED + "SELECT " + ", ".join(
         _C.format(a, b)

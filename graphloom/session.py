@@ -42,10 +42,18 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: Bytes a core of an input that is spread over all cores before work that is heavy per row.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for work that is heavy per row; large inputs have them already and pass unchanged."""
+    """An input of few bytes in two partitions per core, for work that is heavy per row; others pass unchanged.
+
+    The plan's estimate decides, from file sizes: nothing is run for it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * SPREAD_BYTES else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -165,3 +165,74 @@ def test_snapshot_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n"passages": []}')
     r = read_snapshot_files(spark, str(tmp_path)).first()
     assert (r["snapshot_id"], r["body"]) == ("a.json", '{\n"passages": []}')
+
+
+def test_upsert_keys(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, v int")
+    delta = spark.createDataFrame([(None, 20, 1), ("a", 10, 1), ("a", 11, 2)], "k string, v int, o int")
+    assert sorted(map(tuple, store.upsert(old, delta, ["k"], "o").collect()), key=str) == [("a", 11), ("c", 3), (None, 20)]
+    with pytest.raises(Exception, match="CONFLICT"):
+        store.upsert(old, delta.drop("o"), ["k"]).collect()
+
+
+def test_schema_merge_errors_and_create(spark):
+    schema = f"corpus_id string, schema_id string, frequency bigint, fact_ids array<string>, source_document_ids array<string>, aliases {ALIAS}, raw string"
+    stored = spark.createDataFrame([("c", "s", None, None, None, None, "{}"), ("c", "t", 5, [], [], [], None)], schema)
+    token = stored.filter("schema_id = 's'").select(merge_token(F.col("raw"))).first()[0]
+    kind = f"corpus_id string, schema_id string, token string, document_id string, frequency_delta bigint, fact_ids array<string>, aliases {ALIAS}, mode string, created struct<frequency bigint, fact_ids array<string>, source_document_ids array<string>, aliases {ALIAS}, raw string>"
+    merge = ("c", "s", token, "e", 1, ["f"], [("m", None, "x", 0.5, False)], None, None)
+    create = ("c", "n", None, None, None, None, None, "create", (7, ["f"], ["d"], [], "{}"))
+    got = {r["schema_id"]: r for r in store.schema_merge(stored, spark.createDataFrame([merge, create], kind)).collect()}
+    assert (got["s"]["frequency"], got["s"]["fact_ids"], got["s"]["source_document_ids"], len(got["s"]["aliases"])) == (1, ["f"], ["e"], 1)
+    assert (got["n"]["corpus_id"], got["n"]["frequency"], got["n"]["raw"], got["t"]["frequency"]) == ("c", 7, "{}", 5)
+    unknown, exists, nothing, mode = ("c", "x", *merge[2:]), ("c", "s", *create[2:]), (*create[:8], None), (*merge[:7], "other", None)
+    for bad in ([merge, merge], [unknown], [exists], [nothing], [mode]):
+        with pytest.raises(Exception, match="CONFLICT|INVALID_ARGUMENT"):
+            store.schema_merge(stored, spark.createDataFrame(bad, kind)).collect()
+    assert store.schema_merge(stored, spark.createDataFrame([], kind)).count() == 2
+
+
+def test_edges_by_id(spark):
+    schema = "corpus_id string, edge_id string, source_node_id string, target_node_id string, weight double"
+    edges = spark.createDataFrame([("c", "e", "a", "b", 1.0)], schema)
+    nodes = spark.createDataFrame([("c", "a"), ("c", "b")], "corpus_id string, node_id string")
+
+    def make(*row):
+        return spark.createDataFrame([row], schema)
+
+    assert store.create_edge(edges, make("c", "f", "b", "a", 2.0), nodes).count() == 2
+    for bad, code in ((make("c", "e", "a", "b", 1.0), "CONFLICT"), (make("c", "g", "a", "z", 1.0), "NOT_FOUND")):
+        with pytest.raises(Exception, match=code):
+            store.create_edge(edges, bad, nodes).collect()
+    assert store.update_edge(edges, "c", "e", weight=5.0).first()["weight"] == 5.0
+    assert store.delete_edges(edges, edges.select("corpus_id", "edge_id")).count() == 0
+    assert store.exists(store.get_edge(edges, "c", "e")) and not store.exists(store.get_edge(edges, "c", "none"))
+
+
+def test_pages_follow_the_protocol(spark):
+    edges = spark.createDataFrame([("c", f"e{i:03d}", "s", "t", 1.0) for i in range(40)], "corpus_id string, edge_id string, source_node_id string, target_node_id string, weight double")
+    offset, seen = 0, 0
+    while offset is not None:
+        page, head = store.transitions_pages(edges, "c", offset, 400, 3, 3)
+        seen, offset = seen + page.count(), head["next_offset"]
+    assert seen == head["total"] == 40
+    for call, code in (((edges, "c", 40, 400), "INVALID_ARGUMENT"), ((edges, "c", 0, 400, 2, 3), "GENERATION_CHANGED"), ((edges, "none", 1, 400), "INVALID_ARGUMENT")):
+        with pytest.raises(GraphError, match=code):
+            store.transitions_pages(*call)
+    assert store.transitions_pages(edges, "none", 0, 400)[1] == {"generation": None, "total": 0, "next_offset": None}
+
+
+def test_vectors_checkpoints_and_sections(spark):
+    vectors = spark.createDataFrame([("c", "v", [1.0], "n")], "corpus_id string, id string, values array<double>, namespace string")
+    for bad in ([], [float("nan")], [float("inf")], [None], None, [1.0] * 5):
+        with pytest.raises(Exception, match="INVALID_ARGUMENT"):
+            store.upsert_vectors(vectors, spark.createDataFrame([("c", "w", bad, "n")], vectors.schema), max_dimensions=4).collect()
+    none = spark.createDataFrame([], "job_id string, body string")
+    twice = store.save_checkpoint(store.save_checkpoint(none, "j", "c", [], "t0"), "j", "c", ["d"], "t1")
+    assert [r["body"] for r in store.load_checkpoint(twice, "j").collect()] == ['{"corpusId":"c","jobId":"j","processedDocumentIds":["d"],"updatedAt":"t1"}']
+    assert store.load_checkpoint(twice, "k").count() == 0
+    with pytest.raises(GraphError):
+        store.memory_update({}, {"schemas": none}, none)
+    stored = spark.createDataFrame([], "corpus_id string, pos bigint, fact_id string")
+    with pytest.raises(GraphError, match="RESOURCE_LIMIT"):
+        store.memory_upsert(stored, spark.range(5000).selectExpr("'c' AS corpus_id", "string(id) AS fact_id", "int(id) AS _ord"), "fact_id")
