@@ -422,25 +422,20 @@ def survey(texts: DataFrame, clean: list[DataFrame]) -> DataFrame:
 
 def suspicious_words(words: DataFrame, model: CharModel, western: bool = False) -> np.ndarray:
     """The field (:mod:`graphloom.llm.screen`) of the distinct words that some chain makes likelier; every word is screened once."""
-    from graphloom.llm import screen
+    from graphloom.llm import bitfield, screen
 
     shared = words.sparkSession.sparkContext.broadcast(np.frombuffer(model.counts, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = screen.field_of((b.column(0).to_pylist() for b in batches), CharModel(shared.value), western)
-        hit = np.flatnonzero(slots)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(slots[hit].view(np.int64))], names=["slot", "bits"])
+        yield screen.field_of((b.column(0).to_pylist() for b in batches), CharModel(shared.value), western).rows()
 
-    found = map_arrow(words, run, "slot int, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    slots = np.zeros(1 << (screen.FILTER_BITS - 6), np.uint64)
-    slots[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return slots
+    return bitfield.collect(map_arrow(words, run, bitfield.ROWS))
 
 
 def without_suspects(texts: DataFrame, counts: np.ndarray, first: CharModel, slots: np.ndarray) -> np.ndarray:
     """Counts without the clean-looking records whose words the ``first`` model would repair
     (one-byte codecs misread into plausible letters, which show no other sign)."""
-    from graphloom.llm.screen import Field
+    from graphloom.llm.bitfield import Field
 
     shared = texts.sparkSession.sparkContext.broadcast((np.frombuffer(first.counts, np.float32), slots))
 
@@ -654,7 +649,7 @@ def find_garbled(documents: DataFrame, clean: list[DataFrame], id_column: str =
     rows repeat; ties between chains go to the last name. Further columns are not
     read; empty tables give no rows.
     """
-    from graphloom.llm.screen import Field
+    from graphloom.llm.bitfield import Field
 
     spark = documents.sparkSession
     id_type = documents.schema[id_column].dataType.simpleString()

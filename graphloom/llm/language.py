@@ -246,7 +246,10 @@ def detect(passages: DataFrame, samples: DataFrame, keys: list[str], text: Colum
     not read. Training uses at most ``MAX_SAMPLES`` labelled samples; without any, no
     stretch is recognised.
     """
-    labelled = [(r[0], r[1]) for r in samples.select(sample_lang, sample_text).limit(MAX_SAMPLES).collect()]
+    # beyond the bound the samples of the lowest hashes, whatever their place; in stored order
+    drawn = samples.select(F.col(sample_lang).alias("l"), F.col(sample_text).alias("t"), F.monotonically_increasing_id().alias("o"))
+    drawn = drawn.orderBy(F.xxhash64("l", "t"), "l", "t").limit(MAX_SAMPLES).collect()
+    labelled = [(r["l"], r["t"]) for r in sorted(drawn, key=lambda r: r["o"])]
     model = fit(labelled) if any(l in LANGUAGES and t for l, t in labelled) else None
     if model is None:  # nothing to learn from: nothing is recognised
         passages, model = passages.limit(0), LanguageModel(np.zeros((1 << BITS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES)), np.ones(1 << BITS))

@@ -11,7 +11,7 @@ third covers the words themselves: equal fillers in every slot, a literal copy.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.bitfield import Field, field_of_words
 from graphloom.session import checkpoint, map_arrow, spread
 
 WINDOW = 12
 #: Broadcast the evaluation windows up to this many; beyond it both sides shuffle by hash.
 BROADCAST_WINDOWS = 500_000
-#: The plain words of templates are words of at least this many evaluation items ...
-COMMON_ITEMS = 3
-#: ... and at most this many of them, the commonest first (the rest count as names on both sides).
-COMMON_WORDS = 50_000
+#: The plain words of templates are words of at least this many evaluation items, kept in a bit field of
+#: ``WORD_BITS`` bits (2 MB). A name that the field holds by accident is plain on both sides: literal copies stay equal.
+COMMON_ITEMS, WORD_BITS = 3, 24
+#: A template has at least this many plain words. A window of fewer says nothing but its fillers: it meets literal
+#: copies only, so that runs of names have no template in common.
+LEAST_PLAIN = 3
 
 #: Units of measure and money (fixed values).
 UNITS = frozenset(
@@ -67,7 +70,7 @@ def _hash_word(w: str) -> int:
 class Templates:
     """Word -> (class code, word code); equal words have equal codes in every process."""
 
-    def __init__(self, common: frozenset[str]):
+    def __init__(self, common: Container[str]):
         self.common = common
         self.seen: dict[str, tuple[int, int]] = {}
 
@@ -107,36 +110,41 @@ class Templates:
             gap = position[order][1:] - position[order][:-1]
             back[order[1:]] = np.where(same, gap, 0).astype(np.uint64)
         template, slots, exact = (np.zeros(len(starts), np.uint64) for _ in range(3))
+        plain_words = np.zeros(len(starts), np.int64)
         for i in range(size):
             at = starts + i
             template = template * _M1 + kinds[at]
             exact = exact * _M2 + plain[at]
+            plain_words += ~slot[at]
             near = np.where(slot[at] & (back[at] <= i), back[at], 0).astype(np.uint64)
             slots = slots * _M3 + mix(near + np.uint64(1))
+        bare = plain_words < LEAST_PLAIN
+        template, slots = np.where(bare, exact ^ _M3, template), np.where(bare, np.uint64(0), slots)
         at = starts[:, None] + np.arange(size)
         filled = slot[at] if len(starts) else np.zeros((0, size), bool)
         fillers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled.sum(axis=1))]), pa.int32()), pa.array(plain[at][filled].view(np.int64) if len(starts) else np.empty(0, np.int64)))
         return row[starts], position[starts], *(mix(x).view(np.int64) for x in (template, slots, exact)), fillers
 
 
-def common_words(items: DataFrame, column: str = "passage") -> frozenset[str]:
-    """Words in at least ``COMMON_ITEMS`` evaluation passages: the fixed part of templates (bounded)."""
+def common_words(items: DataFrame, column: str = "passage") -> Field:
+    """Words in at least ``COMMON_ITEMS`` evaluation passages: the fixed part of templates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [w for t in batch.column(0).to_pylist() for w in set(words(t))]
             yield pa.RecordBatch.from_arrays([pa.array(each, pa.string())], names=["w"])
 
     counted = map_arrow(items.select(column), run, "w string").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.filter(F.col("n") >= COMMON_ITEMS).orderBy(F.desc("n"), "w").limit(COMMON_WORDS)
-    return frozenset(r["w"] for r in top.collect())
+    return field_of_words(counted.filter(F.col("n") >= COMMON_ITEMS).select("w"), WORD_BITS)
 
 
-def template_windows(df: DataFrame, id_column: str, text_column: str, common: frozenset[str], size: int = WINDOW, fillers: bool = False) -> DataFrame:
+def template_windows(df: DataFrame, id_column: str, text_column: str, common: Field, size: int = WINDOW, fillers: bool = False) -> DataFrame:
     """``id, pos, template, slots, words`` (and ``fillers``) of each window of each text; made in the scan, no shuffle."""
     id_type = df.schema[id_column].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(common.slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Templates(common)
+        coder = Templates(Field(shared.value, WORD_BITS))
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -170,7 +178,8 @@ def leaks(
         .select(F.col("id").alias("item_id"), "template", "slots", F.col("words").alias("item_words"))
         .distinct()
     )
-    small = of_items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    of_items = checkpoint(of_items)  # windows are made once, for the count and the join
+    small = of_items.count() <= BROADCAST_WINDOWS
     of_docs = template_windows(documents, doc_id, text, common, window).withColumnRenamed("id", "doc_id")
     hits = of_docs.join(F.broadcast(of_items) if small else of_items, ["template", "slots"])
     # one state per (document, item) and map task before anything is shuffled

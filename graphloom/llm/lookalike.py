@@ -11,13 +11,15 @@ the member is joined back to every value.
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import checkpoint
 
+#: Rows of a class that one piece of its expansion takes on one side.
+PIECE = 1000
 COLLATION = "UNICODE"  # tertiary strength: accents and case count
 
 #: Letters of other scripts that stand for Latin ones (fixed values).
@@ -135,6 +137,8 @@ def with_look(df: DataFrame, value: str = "value") -> DataFrame:
     text = F.col(value)
     several = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
     unfolded = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(several[c], c)), "")
+    # most texts hold no character that stands for several
+    unfolded = F.when(text.rlike(_class(more)), unfolded).otherwise(text)
     plain = F.translate(unfolded, "".join(one), "".join(one.values()))
     plain = F.regexp_replace(F.regexp_replace(plain, INVISIBLE, ""), SPACES, " ")
     df = df.withColumn("_plain", F.when(text.rlike(_odd()), plain).otherwise(text))
@@ -164,6 +168,17 @@ def canonical_members(values: DataFrame) -> DataFrame:
     return mapped.join(classes, ["grp", "field", "look"]).select("grp", "field", "value", "canonical", "variants")
 
 
+def lookalike_classes(values: DataFrame) -> DataFrame:
+    """``grp, field, key, class_id, variants``: each row whose value has an equal-looking other spelling, with its class.
+
+    The whole relation in one row per key: two keys of one class and different
+    values are a pair. ``class_id`` is the digest of the canonical member.
+    """
+    many = canonical_members(values).filter("variants > 1")
+    member = many.select("grp", "field", "value", F.sha2("canonical", 256).alias("class_id"), "variants")
+    return values.join(member, ["grp", "field", "value"]).select("grp", "field", "key", "class_id", "variants").distinct()
+
+
 def lookalike_pairs(values: DataFrame) -> DataFrame:
     """``grp, field, key_a, key_b`` with key_a < key_b: values that look the same and differ in characters.
 
@@ -176,9 +191,13 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     many = canonical_members(values).filter("variants > 1")
     # a digest stands for the text from here on
     member = many.select("grp", "field", "value", F.sha2("canonical", 256).alias("cls"), F.sha2("value", 256).alias("spelling"))
-    rows = values.join(member, ["grp", "field", "value"]).select("grp", "field", "key", "cls", "spelling").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.cls") == F.col("b.cls"))
+    rows = checkpoint(values.join(member, ["grp", "field", "value"]).select("grp", "field", "key", "cls", "spelling").distinct())
+    # a large class is expanded in pieces: each takes a part of one side and all of the other
+    size = rows.groupBy("grp", "field", "cls").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    sized = rows.join(size, ["grp", "field", "cls"])
+    a = sized.withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")).alias("a")
+    b = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("b")
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("grp", "field", "cls", "piece")])
     return (
         a.join(b, same & (F.col("a.spelling") != F.col("b.spelling")) & (F.col("a.key") < F.col("b.key")))
         .select("a.grp", "a.field", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))

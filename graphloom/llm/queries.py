@@ -31,6 +31,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(_texts(spark, sf_dir)).select(F.col("grp").alias("corpus_id"), F.col("field").alias("field_name"), "key_a", "key_b")
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership in the classes of equal-looking values, one row per key."""
+    return lookalike.lookalike_classes(_texts(spark, sf_dir)).select(F.col("grp").alias("corpus_id"), F.col("field").alias("field_name"), "key", "class_id", "variants")
+
+
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spelling that has an equal-looking other one, with the canonical form of its class."""
     members = lookalike.canonical_members(_texts(spark, sf_dir)).filter("variants > 1")
@@ -65,5 +70,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_restored": p8_restored}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p5_classes": p5_classes, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_restored": p8_restored}
+# words as the operator sees them: maximal runs of letters or digits without case
+_WORDS = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+SQL: dict[str, str] = {
+    "p7_found": f"""WITH i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
+d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
+}

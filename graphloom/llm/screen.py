@@ -10,47 +10,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
 
 import numpy as np
 
 from graphloom.llm import encoding as E
+from graphloom.llm.bitfield import Field
 
-#: Bits of the field of words to look at (8 MB); a fuller field lets more texts through to the exact scoring, none past it.
-FILTER_BITS = 26
 #: Characters that are screened together.
 CHUNK = 200_000
 #: Gains below this are none: differences of long sums have that much noise.
 _ZERO = 1e-8
 
 
-def positions(word: str, bits: int = FILTER_BITS) -> tuple[int, int]:
-    """The two bits of a word."""
-    h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return h & ((1 << bits) - 1), h >> (64 - bits)
-
-
-class Field:
-    """A set of words of fixed size; may hold words that were never added."""
-
-    def __init__(self, slots: np.ndarray | None = None, bits: int = FILTER_BITS):
-        self.bits = bits
-        self.slots = np.zeros(1 << (bits - 6), np.uint64) if slots is None else slots
-        self.memo: dict[str, bool] = {}
-
-    def add(self, word: str) -> None:
-        for p in positions(word, self.bits):
-            self.slots[p >> 6] |= np.uint64(1 << (p & 63))
-
-    def __contains__(self, word: str) -> bool:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > E.MEMO:
-                self.memo.clear()
-            got = self.memo[word] = all(int(self.slots[p >> 6]) >> (p & 63) & 1 for p in positions(word, self.bits))
-        return got
-
-
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -244,12 +215,12 @@ class _Pieces:
         return self.text[self.end[k - 1] if k else 0 : self.end[k]]
 
 
-def field_of(words: Iterable[list[str]], model: E.CharModel, western: bool = False) -> np.ndarray:
-    """The slots of the field of suspicious words of an iteration of word lists; ``western`` passes over words with CJK characters."""
+def field_of(words: Iterable[list[str]], model: E.CharModel, western: bool = False) -> Field:
+    """The field of suspicious words of an iteration of word lists; ``western`` passes over words with CJK characters."""
     screen, field = Screen(model), Field()
     for some in words:
         some = [w for w in some if not (western and max(w) >= "⺀")]
         for word, hit in zip(some, screen.suspicious(some) if some else ()):
             if hit:
                 field.add(word)
-    return field.slots
+    return field

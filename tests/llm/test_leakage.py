@@ -1,6 +1,7 @@
 import regex
 
 from graphloom.llm import leakage, queries
+from tests import oracle
 
 ITEMS = "item_id string, passage string, doc_id int"
 DOCS = "doc_id bigint, text string, item_id string, words int"
@@ -98,3 +99,37 @@ def test_empty_tables(spark):
 def test_large_item_sets_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 1)
     assert literal(found(spark, [(1, STORY)], [("a", STORY)])) == {(1, "a")}
+
+
+def test_found_equals_sql(spark, small):
+    assert oracle.rows(queries.p7_found(spark, small)) == oracle.expected(oracle.connect(small), queries.SQL["p7_found"])
+
+
+def test_runs_of_names_share_no_template(spark):
+    """Windows of rare words alone meet literal copies, however many documents hold such runs."""
+    docs = [(i, " ".join(f"zq{i}x{k}" for k in range(14))) for i in range(3000)]
+    items = [("names", " ".join(f"vw{k}" for k in range(14))), ("copy", docs[7][1]), *((f"i{k}", STORY) for k in range(3))]
+    rows = found(spark, docs, items)
+    assert {(r["doc_id"], r["item_id"], r["literal"]) for r in rows} == {(7, "copy", 3)}
+
+
+def test_recall_and_precision_of_renamed_items(spark, small):
+    """Sixteen words around a name of each item, under new names, between other text: found, and no untouched document is."""
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/eval_items.parquet").filter("lang = 'en'").select("item_id", "passage").collect()]
+    coder = leakage.Templates(leakage.common_words(spark.createDataFrame([(*r, 1) for r in items], ITEMS)))
+
+    def is_name(w):
+        return coder.code(w)[0] == leakage._NAME
+
+    planted, docs = set(), []
+    for n, (item, passage) in enumerate(items):
+        w = words(passage)
+        at = next((k for k in range(8, len(w) - 8) if is_name(w[k])), None)
+        if at is not None:
+            piece = " ".join(f"Q{sum(map(ord, x)) * 7919 % 100003}x" if is_name(x) else x for x in w[at - 8 : at + 8])
+            planted.add((n, item))
+            docs.append((n, f"So far so good. {piece} It works well."))
+    docs += [(1000 + n, f"This is an ordinary review number {n} of a lamp that we bought for the garden and liked a lot.") for n in range(50)]
+    got = {(d, i) for d, i in renamed(spark, docs, items)}
+    assert len(planted) > 50 and len(got & planted) / len(planted) >= 0.95
+    assert not {d for d, _ in got if d >= 1000}

@@ -79,3 +79,13 @@ def test_canonical_member_is_the_plain_one(spark):
     got = L.canonical_members(L.values_of(df, "g", "k", F.col("v"), "f")).collect()
     assert {r["value"]: r["canonical"] for r in got} == {"ｋit": "kit", "kit": "kit", "ki​t": "kit", "other": "other"}
     assert {r["variants"] for r in got} == {1, 3}
+
+
+def test_classes_and_pieces_give_the_same_pairs(spark, monkeypatch):
+    rows = [("g", f"k{i:03d}", "kit" if i % 3 else "ｋit") for i in range(90)] + [("g", "z", "other")]
+    whole = pairs(spark, rows)
+    monkeypatch.setattr(L, "PIECE", 7)
+    assert pairs(spark, rows) == whole == brute(rows) and len(whole) == 30 * 60
+    values = L.values_of(spark.createDataFrame(rows, "g string, k string, v string"), "g", "k", F.col("v"), "f")
+    member = {r["key"]: r for r in L.lookalike_classes(values).collect()}
+    assert set(member) == {k for _, k, v in rows if v != "other"} and {r["variants"] for r in member.values()} == {2} and len({r["class_id"] for r in member.values()}) == 1
