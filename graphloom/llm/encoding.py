@@ -420,14 +420,14 @@ def survey(texts: DataFrame, clean: list[DataFrame]) -> DataFrame:
     return checkpoint(map_arrow(spread(rows), run, _SURVEY))
 
 
-def suspicious_words(words: DataFrame, model: CharModel, western: bool = False) -> np.ndarray:
+def suspicious_words(words: DataFrame, model: CharModel, judge: bool = False) -> np.ndarray:
     """The field (:mod:`graphloom.llm.screen`) of the distinct words that some chain makes likelier; every word is screened once."""
     from graphloom.llm import bitfield, screen
 
     shared = words.sparkSession.sparkContext.broadcast(np.frombuffer(model.counts, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield screen.field_of((b.column(0).to_pylist() for b in batches), CharModel(shared.value), western).rows()
+        yield screen.field_of((b.column(0).to_pylist() for b in batches), CharModel(shared.value), judge).rows()
 
     return bitfield.collect(map_arrow(words, run, bitfield.ROWS))
 
@@ -459,7 +459,7 @@ class Repairer:
     def __init__(self, model: CharModel, margin: float = LEAST_MARGIN):
         self.model, self.margin = model, margin
         self.wrong = {c: CharBytes(c) for c in READ_AS}
-        self.memo: dict[str, list[tuple[tuple[str, str], float, str]]] = {}
+        self.memo: dict[str, list[tuple[tuple[str, str], float, str | None]]] = {}
         counts = np.frombuffer(model.counts, np.float32)[: _OFFSETS[1]]
         top = np.argsort(-counts, kind="stable")[:300]
         self.common = [chr(c) for c in top if counts[c] > 0 and not 0xD800 <= c < 0xE000]
@@ -469,10 +469,10 @@ class Repairer:
         before, after = before[-2:], after[:2]
         return self.model.score(before + new + after) - self.model.score(before + old + after)
 
-    def word(self, word: str) -> list[tuple[tuple[str, str], float, str]]:
-        """(chain, gain, word repaired) of each chain that makes this word likelier."""
+    def word(self, word: str, only: tuple[str, str] | None = None) -> list[tuple[tuple[str, str], float, str | None]]:
+        """(chain, gain, word repaired) of each chain that makes this word likelier, or of one chain; no text for words that were prepared."""
         got = self.memo.get(word)
-        if got is not None:
+        if got is not None and only is None:
             return got
         out, padded, char = self._replaced(word), f"  {word}  ", self.model.char
         each = [char(padded[i - 2 : i + 1]) for i in range(2, len(padded))]
@@ -480,11 +480,11 @@ class Repairer:
         upto = [0.0, 0.0, *itertools.accumulate(each)]
         seen: dict[tuple[int, int, str], float] = {}
         for name, read in self.wrong.items():
-            if not any(c > "\x7f" and read[c] is not None for c in word):
+            if only and name != only[0] or not any(c > "\x7f" and read[c] is not None for c in word):
                 continue
             cut = segments(padded, read)
             for written in WRITTEN_IN:
-                if written == name:
+                if written == name or only and written != only[1]:
                     continue
                 total, parts, last, whole = 0.0, [], 2, written not in _SEQUENCE
                 for s, e, new in spans(padded, cut, read, written):
@@ -504,6 +504,8 @@ class Repairer:
                         last = e
                 if total > 0 or whole and parts:
                     out.append(((name, written), max(total, least), "".join([*parts, padded[last:-2]])))
+        if only:
+            return out
         if len(self.memo) > MEMO:
             self.memo.clear()
         self.memo[word] = out
@@ -568,11 +570,13 @@ class Repairer:
     def apply(self, text: str, chain: tuple[str, str]) -> str:
         """The text with each sentence that gains under the chain read rightly."""
 
-        def read(word: str) -> tuple[float, str] | None:
+        def read(word: str) -> tuple[float, str | None] | None:
             return None if word.isascii() else next(((g, x) for c, g, x in self.word(word) if c == chain), None)
 
         def replace(m: re.Match) -> str:
             found = read(m[0])
+            if found and found[1] is None:
+                found = next(((g, x) for c, g, x in self.word(m[0], chain) if c == chain), None)
             return found[1] if found else m[0]
 
         out = []
@@ -659,7 +663,7 @@ def find_garbled(documents: DataFrame, clean: list[DataFrame], id_column: str =
     words = surveyed.filter("word IS NOT NULL").select("word").repartition(tasks, "word").distinct()
     counts = _collect_counts(surveyed, np.zeros(TABLE, np.float32))
     first = CharModel(counts)
-    model = CharModel(without_suspects(texts, counts, first, suspicious_words(words, first, western=True)))
+    model = CharModel(without_suspects(texts, counts, first, suspicious_words(words, first, judge=True)))
     margin = margin_over_all(model, clean)
     shared = spark.sparkContext.broadcast((np.frombuffer(model.counts, np.float32), suspicious_words(words, model)))
 

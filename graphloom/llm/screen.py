@@ -66,7 +66,7 @@ class Screen:
         found = [np.empty(0, bool)]
         for chunk in self._chunks(words):
             hit = np.array(["�" in w for w in chunk], bool)
-            for _, whole, of, start, _, _, g, _ in self._chains(chunk):
+            for _, whole, of, start, g, _ in self._chains(chunk):
                 if whole:
                     total = np.bincount(of[start], np.maximum(g, -E.LOSS), len(chunk))
                     hit[of[start][total[of[start]] > 0]] = True
@@ -75,33 +75,23 @@ class Screen:
             found.append(hit)
         return np.concatenate(found)
 
-    def scores(self, words: list[str]) -> dict[str, list[tuple[tuple[str, str], float, str]]]:
-        """:meth:`Repairer.word` of every word, but for replacement characters."""
+    def scores(self, words: list[str]) -> dict[str, list[tuple[tuple[str, str], float, None]]]:
+        """:meth:`Repairer.word` of every word, without the texts, and but for replacement characters."""
         out: dict[str, list] = {}
         for chunk in self._chunks(words):
             each: list[list] = [[] for _ in chunk]
-            text = "".join(f"  {w}  " for w in chunk)
             begin = np.cumsum([0, *(len(w) + 4 for w in chunk)]).tolist()
             least = None
-            for chain, whole, of, start, end, news, g, log in self._chains(chunk):
+            for chain, whole, of, start, g, log in self._chains(chunk):
                 if least is None:
                     rare = np.minimum.reduceat(np.where(self._inside(begin), log, 0.0), begin[:-1])
                     west = np.array([bool(E._WESTERN.search(w)) for w in chunk])
                     least = np.where(rare > np.where(west, E.UNUSUAL, E.UNUSUAL_CJK), -E.IN_ORDER, -np.inf).tolist()
                 keep = np.arange(len(start)) if whole else np.flatnonzero(g > 0)
-                if not len(keep):
-                    continue
-                total = np.bincount(of[start[keep]], np.maximum(g[keep], -E.LOSS), len(chunk)).tolist()
-                parts: dict[int, list] = {}
-                for k, w, i, j in zip(keep.tolist(), of[start[keep]].tolist(), start[keep].tolist(), end[keep].tolist()):
-                    done = parts.get(w)
-                    if done is None:
-                        done = parts[w] = [[], begin[w] + 2]
-                    done[0] += [text[done[1] : i], news[k]]
-                    done[1] = j
-                for w, (pieces, last) in parts.items():
-                    if total[w] > 0 or whole:
-                        each[w].append((chain, max(total[w], least[w]), "".join([*pieces, text[last : begin[w + 1] - 2]])))
+                word = of[start[keep]]
+                total = np.bincount(word, np.maximum(g[keep], -E.LOSS), len(chunk))
+                for w in np.unique(word).tolist():
+                    each[w].append((chain, max(float(total[w]), least[w]), None))
             out.update(zip(chunk, each))
         return out
 
@@ -114,8 +104,8 @@ class Screen:
         return mask
 
     def _chains(self, words: list[str]) -> Iterator[tuple]:
-        """(chain, whether it reads single bytes, word of each position, starts, ends, texts read rightly, gains, log probabilities)
-        of the stretches of each chain that has any."""
+        """(chain, whether it reads single bytes, word of each position, starts and gains of stretches, log probabilities)
+        of each chain that has any stretch."""
         text = "".join(f"  {w}  " for w in words)
         codes = _points(text).astype(np.uint64)
         of = np.repeat(np.arange(len(words)), [len(w) + 4 for w in words])
@@ -135,10 +125,10 @@ class Screen:
             begin = np.cumsum(sizes) - sizes
             for written, start, end, new, size in self._one_byte(name, codes, high & known, begin, sizes, data):
                 g = self.gains(codes, upto, start, end, new, size)
-                yield (name, written), True, of, start, end, _Pieces(new, size), g, log
+                yield (name, written), True, of, start, g, log
             for written, start, end, news in self._several_bytes(name, text, codes, begin, data.tobytes()):
                 g = self.gains(codes, upto, start, end, _points("".join(news)), np.array([len(x) for x in news]))
-                yield (name, written), False, of, start, end, news, g, log
+                yield (name, written), False, of, start, g, log
 
     def _one_byte(self, name: str, codes: np.ndarray, mask: np.ndarray, begin: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
         edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
@@ -203,23 +193,22 @@ def _decoded(pieces: list[bytes], codec: str) -> list[str | None]:
     return [E.decode(p, codec) if "\ufffd" in x else x for x, p in zip(out, pieces)]
 
 
-class _Pieces:
-    """The pieces of one array of code points as texts."""
+def field_of(words: Iterable[list[str]], model: E.CharModel, judge: bool) -> Field:
+    """The field of the words that need exact scoring, of an iteration of word lists.
 
-    def __init__(self, codes: np.ndarray, size: np.ndarray):
-        self.codes, self.end, self.text = codes, np.cumsum(size).tolist(), None
-
-    def __getitem__(self, k: int) -> str:
-        if self.text is None:
-            self.text = self.codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        return self.text[self.end[k - 1] if k else 0 : self.end[k]]
-
-
-def field_of(words: Iterable[list[str]], model: E.CharModel, western: bool = False) -> Field:
-    """The field of suspicious words of an iteration of word lists; ``western`` passes over words with CJK characters."""
-    screen, field = Screen(model), Field()
+    Words with signs of a wrong encoding need no screen: they are in the field, or,
+    if the model is only to ``judge`` which records that look clean are not, out of
+    it like words with CJK characters.
+    """
+    screen, field, clean = Screen(model), Field(), E.CleanTexts()
     for some in words:
-        some = [w for w in some if not (western and max(w) >= "⺀")]
+        if judge:
+            some = [w for w in some if max(w) < "⺀" and clean.word(w)]
+        else:
+            for w in some:
+                if not clean.word(w):
+                    field.add(w)
+            some = [w for w in some if clean.word(w)]
         for word, hit in zip(some, screen.suspicious(some) if some else ()):
             if hit:
                 field.add(word)
