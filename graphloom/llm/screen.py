@@ -193,22 +193,15 @@ def _decoded(pieces: list[bytes], codec: str) -> list[str | None]:
     return [E.decode(p, codec) if "\ufffd" in x else x for x, p in zip(out, pieces)]
 
 
-def field_of(words: Iterable[list[str]], model: E.CharModel, judge: bool) -> Field:
-    """The field of the words that need exact scoring, of an iteration of word lists.
+def field_of(words: Iterable[list[str]], model: E.CharModel, judge: bool = False) -> Field:
+    """The field of the words that some chain makes likelier, of an iteration of word lists.
 
-    Words with signs of a wrong encoding need no screen: they are in the field, or,
-    if the model is only to ``judge`` which records that look clean are not, out of
-    it like words with CJK characters.
+    A model that is only to ``judge`` which records that look clean are not needs no
+    words with signs of a wrong encoding, and none with CJK characters.
     """
     screen, field, clean = Screen(model), Field(), E.CleanTexts()
     for some in words:
-        if judge:
-            some = [w for w in some if max(w) < "⺀" and clean.word(w)]
-        else:
-            for w in some:
-                if not clean.word(w):
-                    field.add(w)
-            some = [w for w in some if clean.word(w)]
+        some = [w for w in some if not judge or max(w) < "⺀" and clean.word(w)]
         for word, hit in zip(some, screen.suspicious(some) if some else ()):
             if hit:
                 field.add(word)
