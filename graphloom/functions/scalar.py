@@ -44,14 +44,10 @@ def merge_token(canonical_json: Column) -> Column:
     return F.sha2(F.concat(F.lit("graphloom-schema-merge-token-v1:"), canonical_json), 256)
 
 
-def first_nonempty(array: Column) -> Column:
-    return F.get(array, F.lit(0))
-
-
-def without(array: Column, value: Column | str) -> Column:
-    """Array without a value, keeping order and duplicates of the rest."""
-    value = F.lit(value) if isinstance(value, str) else value
-    return F.filter(array, lambda x: (x != value) | x.isNull())
+def sort_work(n: Column) -> Column:
+    """Comparisons that a merge sort of ``n`` rows is charged: n * ceil(log2 n) - 2 ** ceil(log2 n) + 1, and none below two rows."""
+    depth = F.ceil(F.log2(n.cast("double")))
+    return F.when(n > 1, n * depth - F.pow(F.lit(2.0), depth).cast("bigint") + 1).otherwise(F.lit(0)).cast("bigint")
 
 
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:

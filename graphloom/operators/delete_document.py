@@ -85,7 +85,7 @@ def delete_document(store: Store, corpus_id: str, document_id: str, updated_at:
     lost_passages = plain.filter("layer = 'passage' AND _fate = 'remove'").select(F.coalesce("item_id", "node_id").alias("id")).unionByName(passages.filter(single).select(F.col("passage_id").alias("id"))).distinct()
     plain = _partition(plain, "node_id", "passage_ids", lost_passages, "_passages", "_lost")
     all_lost = (F.size("passage_ids") > 0) & (F.size("_passages") == 0)
-    plain = checkpoint(plain.withColumn("_fate", F.when((F.col("layer") == "fact") & all_lost, "remove").otherwise(F.col("_fate"))))
+    plain = plain.withColumn("_fate", F.when((F.col("layer") == "fact") & all_lost, "remove").otherwise(F.col("_fate")))
     lost_facts = plain.filter("layer = 'fact' AND _fate = 'remove'").select(F.coalesce("item_id", "node_id").alias("id"))
 
     # snapshot
@@ -93,7 +93,8 @@ def delete_document(store: Store, corpus_id: str, document_id: str, updated_at:
     touched = touched.withColumn("_docs", _drop("source_document_ids", w))
     keeps = (F.size("_docs") > 0) & ~((F.size("passage_ids") > 0) & (F.size("_passages") == 0))
     touched = checkpoint(touched.withColumn("_keep", F.coalesce(keeps, F.lit(False))))
-    lost_facts = checkpoint(lost_facts.unionByName(touched.filter(~F.col("_keep")).select(F.col("fact_id").alias("id"))).distinct())
+    lost_facts = lost_facts.unionByName(touched.filter(~F.col("_keep")).select(F.col("fact_id").alias("id"))).distinct()
+    lost_facts = checkpoint(lost_facts)  # the ids of one document's facts
     pruned_facts = touched.filter("_keep").withColumn("source_document_ids", F.col("_docs")).withColumn("passage_ids", F.col("_passages")).withColumn("updated_at", F.lit(updated_at))
     facts_after = facts.filter(~_has("source_document_ids", w)).unionByName(pruned_facts.select(*facts.columns))
 
@@ -115,7 +116,7 @@ def delete_document(store: Store, corpus_id: str, document_id: str, updated_at:
     onto = _partition(onto, "node_id", "fact_ids", lost_facts, "_own_facts", "_lost")
     onto = onto.withColumn("_docs", F.when(F.col("_stored"), F.col("_docs_after")).otherwise(_drop("source_document_ids", w)))
     onto = onto.withColumn("_support", F.get("_docs", F.lit(0)))
-    onto = checkpoint(onto.withColumn("_new_facts", F.when(F.col("_stored"), F.col("_facts_after")).otherwise(F.col("_own_facts"))))
+    onto = onto.withColumn("_new_facts", F.when(F.col("_stored"), F.col("_facts_after")).otherwise(F.col("_own_facts")))
 
     # shared fact nodes whose fact went with the snapshot go too
     plain = _flag(plain, lost_facts, F.when(F.col("layer") == "fact", F.coalesce("item_id", "node_id")), "_fact_gone")
@@ -136,7 +137,7 @@ def delete_document(store: Store, corpus_id: str, document_id: str, updated_at:
     ends = F.explode(F.array("source_node_id", "target_node_id")).alias("node_id")
     candidates = e.filter("_out").select(ends).filter(F.col("node_id").startswith("entity:")).distinct().join(nodes_mid.filter("layer = 'entity'").select("node_id"), "node_id", "left_semi")
     support = e.filter(~F.col("_out") & F.col("relation").isin("entity_mention", "entity_cooccurrence")).select(ends)
-    orphans = checkpoint(candidates.join(support, "node_id", "left_anti"))
+    orphans = candidates.join(support, "node_id", "left_anti")
     e = _flag(_flag(e, orphans, "source_node_id", "_d"), orphans, "target_node_id", "_f")
     e = e.withColumn("_out", F.col("_out") | F.col("_d") | F.col("_f"))
     nodes_after = nodes_mid.join(orphans, "node_id", "left_anti")

@@ -148,6 +148,41 @@ def p4_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("snapshot_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("parent_pk").alias("n_parents"))
 
 
+_OPEN = """SELECT snapshot_id, body, CASE
+  WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v->>'$') THEN CAST(v->>'$' AS JSON) END
+  WHEN json_type(v) = 'OBJECT' AND NOT list_contains(json_keys(v), 'passages') AND json_type(v->'result') IN ('OBJECT', 'VARCHAR') THEN v->'result'
+  WHEN json_type(v) = 'OBJECT' AND NOT list_contains(json_keys(v), 'passages') AND json_type(v->'snapshot') IN ('OBJECT', 'VARCHAR') THEN v->'snapshot'
+  ELSE v END AS v FROM v{}"""
+_NAME = "CASE WHEN json_type(x->'{0}') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN x->>'{0}' ELSE k END"
+_BODIES = (
+    "WITH v0 AS (SELECT DISTINCT snapshot_id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS v FROM raw_snapshots),\n"
+    + ",\n".join(f"v{i + 1} AS ({_OPEN.format(i)})" for i in range(6))
+    + f""",
+s AS (SELECT snapshot_id, body, v FROM v6 WHERE json_type(v) = 'OBJECT'),
+lists AS (SELECT snapshot_id, body, 'p' AS kind, v->'passages' AS a FROM s UNION ALL SELECT snapshot_id, body, 'f', v->'facts' FROM s),
+items AS (SELECT * FROM (
+  SELECT snapshot_id, body, kind, i, CAST(NULL AS VARCHAR) AS k, json_extract(a, '$[' || i || ']') AS x FROM (SELECT *, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS i FROM lists WHERE json_type(a) = 'ARRAY')
+  UNION ALL SELECT snapshot_id, body, kind, i, ks[i + 1], json_extract(a, '$."' || ks[i + 1] || '"') FROM (SELECT *, json_keys(a) AS ks, unnest(range(0, CAST(len(json_keys(a)) AS BIGINT))) AS i FROM lists WHERE json_type(a) = 'OBJECT'))
+  WHERE json_type(x) = 'OBJECT'),
+arrays AS (SELECT snapshot_id, body, kind, i, {_NAME.format('passageId')} AS id, 'section_path' AS tag, 'title' AS o, x->'metadata'->'sectionPath' AS a FROM items WHERE kind = 'p'
+  UNION ALL SELECT snapshot_id, body, kind, i, {_NAME.format('passageId')}, 'entity_mentions', 'name', x->'entityMentions' FROM items WHERE kind = 'p'
+  UNION ALL SELECT snapshot_id, body, kind, i, {_NAME.format('passageId')}, 'fact_ids', 'factId', x->'factIds' FROM items WHERE kind = 'p'
+  UNION ALL SELECT snapshot_id, body, kind, i, {_NAME.format('factId')}, 'fact_passage', 'passageId', x->'passageIds' FROM items WHERE kind = 'f'),
+elements AS (SELECT * EXCLUDE (a), json_extract(a, '$[' || j || ']') AS e FROM (SELECT *, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS j FROM arrays WHERE json_type(a) = 'ARRAY')
+  UNION ALL SELECT * EXCLUDE (a), 0, a FROM arrays WHERE json_type(a) <> 'ARRAY'),
+named AS (SELECT * EXCLUDE (e), CASE WHEN json_type(e) = 'OBJECT' THEN list_filter([e->o, e->'title', e->'name', e->'factId'], lambda y: json_type(y) <> 'NULL')[1] ELSE e END AS e FROM elements),
+rows_ AS (SELECT * EXCLUDE (e), CASE WHEN json_type(e) = 'VARCHAR' THEN e->>'$' ELSE CAST(e AS VARCHAR) END AS val FROM named WHERE json_type(e) NOT IN ('NULL', 'OBJECT', 'ARRAY'))
+"""
+)
+_P4_FOUND = _BODIES + "SELECT DISTINCT snapshot_id, id AS passage_id, tag AS field_name, CAST(j AS BIGINT) AS ord, val FROM rows_ WHERE kind = 'p'"
+_P4_COUNTS = (
+    _BODIES
+    + """, every AS (SELECT snapshot_id, 'snapshot' AS tag, CAST(NULL AS VARCHAR) AS parent FROM s
+  UNION ALL SELECT snapshot_id, CASE kind WHEN 'p' THEN 'passage' ELSE 'fact' END, body FROM items
+  UNION ALL SELECT snapshot_id, tag, body || kind || i FROM rows_)
+SELECT snapshot_id, tag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT parent) AS BIGINT) AS n_parents FROM every GROUP BY ALL"""
+)
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_corpus_join": p1_corpus_join,
@@ -156,4 +191,4 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_child_counts": p4_child_counts,
 }
-SQL = {"p1_found": _P1_FOUND, "p1_corpus_join": _P1_CORPUS_JOIN, "p3_found": _P3_FOUND, "p3_orphans_per_month": _P3_MONTHS}
+SQL = {"p1_found": _P1_FOUND, "p1_corpus_join": _P1_CORPUS_JOIN, "p3_found": _P3_FOUND, "p3_orphans_per_month": _P3_MONTHS, "p4_found": _P4_FOUND, "p4_child_counts": _P4_COUNTS}

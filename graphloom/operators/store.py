@@ -219,6 +219,12 @@ def upsert_vectors(vectors: DataFrame, delta: DataFrame, order: str | None = Non
     return upsert(vectors, delta.withColumn("values", F.when(bad, wrong).otherwise(F.col("values"))), ["corpus_id", "id"], order)
 
 
+def index_passages(lexical: DataFrame, delta: DataFrame, order: str | None = None) -> DataFrame:
+    """Lexical passages replaced by (corpus_id, passage_id); a passage without an id raises."""
+    named = F.when(F.col("passage_id").isNull(), F.raise_error(F.lit("INVALID_ARGUMENT: a passage has no id")).cast("string")).otherwise(F.col("passage_id"))
+    return upsert(lexical, delta.withColumn("passage_id", named), ["corpus_id", "passage_id"], order)
+
+
 def save_checkpoint(checkpoints: DataFrame, job_id: str, corpus_id: str, processed: Sequence[str], updated_at: str) -> DataFrame:
     """Job checkpoints (job_id, body) with the one of this job replaced; ``body`` is canonical JSON."""
     body = json.dumps({"corpusId": corpus_id, "jobId": job_id, "processedDocumentIds": list(processed), "updatedAt": updated_at}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

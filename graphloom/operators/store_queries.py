@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
-from graphloom.functions.scalar import document_ids, fold, merge_token, utf16_key
+from graphloom.functions.scalar import document_ids, fold, merge_token, sort_work, utf16_key
 from graphloom.operators import delete_document as dd
 from graphloom.operators import pagerank, retrieval, store
 from graphloom.session import table
@@ -297,6 +297,20 @@ def job_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return store.load_checkpoint(saved, "survey")
 
 
+def lexical_index_post(spark: SparkSession, d: str) -> DataFrame:
+    """Passages after two of them were indexed again and one is new."""
+    lexical = fixtures.g_lexical(spark, d)
+    again = lexical.filter("passage_id IN ('1', '2')").withColumn("document_id", F.lit("again"))
+    new = lexical.filter("passage_id = '3'").withColumn("passage_id", F.lit("new"))
+    return store.index_passages(lexical, again.unionByName(new)).select("passage_id", "document_id")
+
+
+def sort_work_per_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons charged for sorting each corpus' edges."""
+    n = table(spark, d, "edges").groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("corpus_id", "n", sort_work(F.col("n")).alias("work"))
+
+
 def vector_validate(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of every namespace after an upsert of all of them, checked."""
     vectors = fixtures.g_vectors(spark, d)
@@ -441,7 +455,7 @@ QUERIES = {
         scan_nodes, scan_edges, get_node, get_nodes_layer, get_edges_source, get_adjacent, dangling_nodes, node_count, graph_admission, section_counts, memory_load, transitions, transitions_page, passages_by_ids,
         facts_by_ids, schemas_by_ids, facts_by_entities, active_facts, schema_projection, schema_merge_token, entity_fold, utf16_order, doc_ids_from_ref, vector_search, vector_search_threshold, candidate_search,
         lexical_search, fact_expand, ppr_fixed_iters, ppr_converged, upsert_nodes_post, upsert_edges_post, delete_nodes_post, delete_edges_post, delete_by_document_post, delete_by_corpus_post, vector_upsert_post,
-        vector_delete_post, lexical_delete_post, memory_upsert_post, schema_merge_post, schema_create_post, upsert_duplicates_post, schema_nodes_post, integrity_report, job_checkpoint, vector_validate, activate_facts_post, delete_document_counts, delete_document_nodes, delete_document_edges, delete_document_vectors,
+        vector_delete_post, lexical_delete_post, memory_upsert_post, schema_merge_post, schema_create_post, upsert_duplicates_post, schema_nodes_post, integrity_report, job_checkpoint, vector_validate, lexical_index_post, sort_work_per_corpus, activate_facts_post, delete_document_counts, delete_document_nodes, delete_document_edges, delete_document_vectors,
         delete_document_facts, delete_document_schemas,
     )
 }
@@ -500,6 +514,8 @@ UNION ALL SELECT 'dangling_target', corpus_id, count(*) FROM edges e WHERE NOT E
 UNION ALL SELECT 'bad_weight', corpus_id, count(*) FROM edges WHERE weight < 0 OR isnan(weight) OR isinf(weight) GROUP BY corpus_id
 UNION ALL SELECT 'missing_evidence', corpus_id, count(*) FROM (SELECT corpus_id, unnest(passage_ids) AS p FROM mem_facts) f WHERE NOT EXISTS (SELECT 1 FROM mem_passages m WHERE m.corpus_id = f.corpus_id AND m.passage_id = f.p) GROUP BY corpus_id""",
     "job_checkpoint": """SELECT 'survey' AS job_id, '{"corpusId":"c","jobId":"survey","processedDocumentIds":["d1","d2"],"updatedAt":"t1"}' AS body""",
+    "lexical_index_post": _L + "SELECT passage_id, CASE WHEN passage_id IN ('1', '2') THEN 'again' ELSE document_id END AS document_id FROM g_lexical UNION ALL SELECT 'new', document_id FROM g_lexical WHERE passage_id = '3'",
+    "sort_work_per_corpus": "SELECT corpus_id, n, CASE WHEN n > 1 THEN CAST(n * k - pow(2, k) + 1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS work FROM (SELECT corpus_id, CAST(count(*) AS BIGINT) AS n, CAST(ceil(log2(count(*))) AS BIGINT) AS k FROM edges GROUP BY corpus_id)",
     "vector_validate": _V + "SELECT 'checked-' || namespace AS namespace, CAST(count(*) AS BIGINT) AS n, CAST(max(len(vals)) AS INTEGER) AS dimensions FROM g_vectors GROUP BY 1",
     "activate_facts_post": _F + "SELECT fact_id, CASE WHEN schema_id IN ('view', 'click') THEN 'active' ELSE state END AS state, CASE WHEN schema_id IN ('view', 'click') AND state = 'inactive' THEN 'now' ELSE 'old' END AS updated_at FROM g_facts",
     "delete_document_counts": _DELETED + "SELECT " + ", ".join(

@@ -519,7 +519,7 @@ class Graph:
             side = ends.select(F.col("id").alias(column), F.lit(True).alias("_there"), *([F.array_contains("labels", label).alias("_ok")] if label else []))
             e = e.join(side, column, "left")
             there = F.when(F.col("_there"), F.col(column)).otherwise(F.raise_error(F.lit("REFERENTIAL_INTEGRITY_VIOLATION: missing edge endpoint")).cast("string"))
-            e = (e.filter("_ok") if label else e).withColumn(column, there).drop("_there", "_ok")
+            e = (e.filter(F.coalesce("_ok", F.col("_there").isNull())) if label else e).withColumn(column, there).drop("_there", "_ok")
         rows = e.select("n", "r", "m")
         if not plan.directed:
             rows = rows.withColumn("x", F.explode(F.array(F.struct("n", "r", "m"), F.struct(F.col("m").alias("n"), "r", F.col("n").alias("m"))))).select("x.*")
@@ -568,17 +568,17 @@ class Graph:
             return counts.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("b"), F.lit(0)).alias("relationships")), self.nodes
         if plan.name == "apoc.coll.toSet":
             if len(args) != 1 or not isinstance(args[0], list):
-                raise invalid("apoc.coll.toSet requires a list")
+                raise invalid("toSet takes one list")
             distinct = list(dict.fromkeys((type(v), v) for v in args[0]))
             return one.select(F.array(*[F.lit(show(v) if len({t for t, _ in distinct}) > 1 else v) for _, v in distinct]).alias("values")), self.nodes
         if plan.name == "apoc.text.join":
             if len(args) != 2 or not isinstance(args[0], list):
-                raise invalid("apoc.text.join requires values, delimiter")
+                raise invalid("join takes a list and a separator")
             if not isinstance(args[1], str):
-                raise invalid("delimiter must be string")
+                raise invalid("the separator is a string")
             return one.select(F.array_join(F.array(*[F.lit(show(v)) for v in args[0]]).cast("array<string>"), args[1]).alias("value")), self.nodes
         if len(args) != 2 or not all(isinstance(a, str) and a for a in args):
-            raise invalid("rename.label requires two labels")
+            raise invalid("a label is renamed from one name to another")
         old, new = args
         hit = self.nodes.filter(F.array_contains("labels", old)).agg(F.count(F.lit(1)).alias("updatedNodeCount"))
         renamed = F.transform("labels", lambda x: F.when(x == old, F.lit(new)).otherwise(x))

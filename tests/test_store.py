@@ -5,7 +5,7 @@ from graphloom.errors import GraphError
 from graphloom.functions.scalar import document_ids, fold, merge_token, utf16_key
 from graphloom.operators import delete_document as dd
 from graphloom.operators import store
-from graphloom.sources.generation import GenerationStore, read_snapshot_files
+from graphloom.sources.generation import GenerationStore, append_audit, capabilities, ping, read_audit, read_snapshot_files
 from graphloom.streaming import ingest
 
 
@@ -73,18 +73,18 @@ NODE = "corpus_id string, node_id string, layer string, item_id string, document
 
 @pytest.fixture(scope="module")
 def deleted(spark):
-    facts = [("w1", "s1", [W], ["pw"], "alcohol", "injury"), ("w2", "s2", [W], ["pw"], "smoking", "cancer"), ("x1", "s1", [X], ["px"], "alcohol", "liver"), ("sh", "s1", [W, X], ["pw", "px"], "alcohol", "falls")]
+    facts = [("w1", "s1", [W], ["pw"], "copper", "bronze"), ("w2", "s2", [W], ["pw"], "zinc", "solder"), ("x1", "s1", [X], ["px"], "copper", "kettle"), ("sh", "s1", [W, X], ["pw", "px"], "copper", "gong")]
     nodes = [(C, f"fact:{f}", "fact", f, None, d, p, None, "t") for f, _, d, p, _, _ in facts]
     nodes += [(C, f"passage:{p}", "passage", p, d, None, None, None, "t") for p, d in (("pw", W), ("px", X))]
-    nodes += [(C, f"entity:{e}", "entity", None, None, None, None, None, "t") for e in ("alcohol", "injury", "smoking", "cancer", "liver", "falls")]
+    nodes += [(C, f"entity:{e}", "entity", None, None, None, None, None, "t") for e in ("copper", "bronze", "zinc", "solder", "kettle", "gong")]
     nodes += [(C, "schema:s1", "ontology", "s1", None, [W, X], None, ["w1", "x1", "sh"], "t"), (C, "schema:s2", "ontology", "s2", None, [W], None, ["w2"], "t")]
     edges = [(f"schema-instance:{s}:{f}", f"schema:{s}", f"fact:{f}", "schema_instance") for f, s, *_ in facts]
     edges += [(f"fact-evidence:{f}:{p}", f"fact:{f}", f"passage:{p}", "fact_evidence") for f, _, _, ps, *_ in facts for p in ps]
     edges += [(f"entity-cooccur:{h}:{t}:{f}", f"entity:{h}", f"entity:{t}", "entity_cooccurrence") for f, _, _, _, h, t in facts]
-    edges += [(f"entity-mention:{e}:{p}", f"entity:{e}", f"passage:{p}", "entity_mention") for e, p in (("alcohol", "pw"), ("injury", "pw"), ("smoking", "pw"), ("cancer", "pw"), ("alcohol", "px"), ("liver", "px"), ("falls", "pw"), ("falls", "px"))]
+    edges += [(f"entity-mention:{e}:{p}", f"entity:{e}", f"passage:{p}", "entity_mention") for e, p in (("copper", "pw"), ("bronze", "pw"), ("zinc", "pw"), ("solder", "pw"), ("copper", "px"), ("kettle", "px"), ("gong", "pw"), ("gong", "px"))]
     edges += [("type-bridge:s1:s2", "schema:s1", "schema:s2", "type_based_bridge")]
     vectors = [("schema:s1", "schema", W), ("schema:s2", "schema", W), ("fact:w1", "fact", W), ("fact:w2", "fact", W), ("fact:x1", "fact", X), ("fact:sh", "fact", W), ("passage:pw", "passage", W), ("passage:px", "passage", X)]
-    vectors += [(f"entity:{e}", "entity", None) for e in ("alcohol", "injury", "smoking", "cancer", "liver", "falls")]
+    vectors += [(f"entity:{e}", "entity", None) for e in ("copper", "bronze", "zinc", "solder", "kettle", "gong")]
     make = spark.createDataFrame
     other = ("other", "passage:pw", "passage", "pw", W, None, None, None, "t")
     passages = make([(C, "pw", W), (C, "px", X), ("other", "pw", W)], "corpus_id string, passage_id string, document_id string")
@@ -113,11 +113,11 @@ def test_delete_document_state(deleted):
     def mine(df):
         return df.filter(F.col("corpus_id") == C).collect()
 
-    assert {r["node_id"] for r in mine(after.nodes)} == {"entity:alcohol", "entity:falls", "entity:liver", "fact:sh", "fact:x1", "passage:px", "schema:s1"}
+    assert {r["node_id"] for r in mine(after.nodes)} == {"entity:copper", "entity:gong", "entity:kettle", "fact:sh", "fact:x1", "passage:px", "schema:s1"}
     assert {r["edge_id"] for r in mine(after.edges)} == {
-        "schema-instance:s1:x1", "schema-instance:s1:sh", "fact-evidence:x1:px", "fact-evidence:sh:px", "entity-cooccur:alcohol:liver:x1", "entity-cooccur:alcohol:falls:sh", "entity-mention:alcohol:px", "entity-mention:liver:px", "entity-mention:falls:px",
+        "schema-instance:s1:x1", "schema-instance:s1:sh", "fact-evidence:x1:px", "fact-evidence:sh:px", "entity-cooccur:copper:kettle:x1", "entity-cooccur:copper:gong:sh", "entity-mention:copper:px", "entity-mention:kettle:px", "entity-mention:gong:px",
     }
-    assert {(r["id"], r["document_id"]) for r in mine(after.vectors)} == {("schema:s1", X), ("fact:x1", X), ("fact:sh", X), ("passage:px", X), ("entity:alcohol", None), ("entity:liver", None), ("entity:falls", None)}
+    assert {(r["id"], r["document_id"]) for r in mine(after.vectors)} == {("schema:s1", X), ("fact:x1", X), ("fact:sh", X), ("passage:px", X), ("entity:copper", None), ("entity:kettle", None), ("entity:gong", None)}
     assert {r["fact_id"]: (r["source_document_ids"], r["passage_ids"], r["updated_at"]) for r in mine(after.facts)} == {"x1": ([X], ["px"], "t"), "sh": ([X], ["px"], "now")}
     assert {r["schema_id"]: (r["source_document_ids"], r["fact_ids"], r["frequency"], r["state"]) for r in mine(after.schemas)} == {"s1": ([X], ["x1", "sh"], 2, "pending"), "s2": ([], [], 0, "pending")}
     assert {r["node_id"]: r["fact_ids"] for r in mine(after.nodes)}["schema:s1"] == ["x1", "sh"]
@@ -140,10 +140,52 @@ def test_generations(spark, tmp_path):
         s.read("t", base.number)
     s.compact("t")
     assert s.read("t").count() == 3 and len(s.current().tables["t"]) == 1
-    assert len(s.discard_unreferenced()) == 1 and s.read("t").count() == 3
+    assert s.discard_unreferenced() == []  # its writer may still be alive
+    assert len(s.discard_unreferenced(0)) == 1 and s.read("t").count() == 3
     assert [len(p) for _, p in s.lineage("t")] == [1, 2, 3, 1]
     with pytest.raises(GraphError, match="NOT_FOUND"):
         s.read("none")
+    assert len(s.forget(1)) == 3 and s.read("t").count() == 3
+
+
+def test_generations_in_a_hadoop_file_system(spark, tmp_path):
+    s = GenerationStore(spark, f"file://{tmp_path}/store")
+    one = spark.createDataFrame([(1, "a", 0)], "k int, v string, o int")
+    s.replace("t", one.drop("o"))
+    base = s.current()
+    s.change("t", spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 1)], one.schema), ["k"], "o", 5)
+    s.change("t", spark.createDataFrame([(1, "old", 9)], one.schema), ["k"], "o", 4)  # dekettleed late
+    assert sorted(map(tuple, s.read("t").collect())) == [(1, "c"), (2, "d")]
+    with pytest.raises(GraphError, match="RETRYABLE_CONFLICT"):
+        s.publish(base)
+    with pytest.raises(FileExistsError):
+        s.files.create("MANIFEST-1.json", "{}")
+    (tmp_path / "store" / "MANIFEST-9.json").write_text('{"t": [')  # another writer, not yet done
+    assert s.current().number == 3
+    (tmp_path / "store" / "MANIFEST-9.json").unlink()
+    s.compact("t")
+    assert sorted(map(tuple, s.read("t").collect())) == [(1, "c"), (2, "d")]
+
+
+def test_prepare_and_commit(spark, tmp_path):
+    s = GenerationStore(spark, str(tmp_path / "store"))
+    one, base = spark.range(3), s.current()
+    parts = {"t": [s.stage(one, "t")]}
+    evidence = s.prepare(base, parts)
+    with pytest.raises(GraphError, match="EVIDENCE_MISMATCH"):
+        s.commit(base, {"t": [*parts["t"], s.stage(one, "t")]}, evidence)
+    assert s.commit(base, parts, evidence).number == 1 and s.read("t").count() == 3
+    with pytest.raises(GraphError, match="RETRYABLE_CONFLICT"):
+        s.commit(base, parts, evidence)
+
+
+def test_audit_and_capabilities(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    events = spark.createDataFrame([("u", 1)], "actor string, n int")
+    append_audit(events, path)
+    append_audit(events, path)
+    assert read_audit(spark, path, "actor string, n int").count() == 2
+    assert capabilities()["limits"]["seeds"] == 512 and ping() == "pong"
 
 
 def test_streaming_upserts(spark, tmp_path):
