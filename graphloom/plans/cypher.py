@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, invalid, syntax, unsupported
 from graphloom.model import GRAPH_NODES, number, tagged
+from graphloom.session import checkpoint
 
 DIALECTS = {"opencypher9": "opencypher9", "neo4j-compat": "neo4j-compat", "neo4j_compat": "neo4j-compat", "extended": "extended"}
 AGGREGATES = ("count", "collect", "sum", "avg", "min", "max")
@@ -47,6 +48,10 @@ def tokenize(query: str) -> list[Token]:
     return out
 
 
+#: Up to so many rows of a page are taken first and checked then.
+PAGE_ROWS = 10_000
+
+
 @dataclass
 class Page:
     order: bool = False
@@ -513,6 +518,8 @@ class Graph:
         if plan.edge_type is not None:
             e = e.filter(F.col("edge_type") == plan.edge_type)
         e = e.select(F.col("id").alias("r"), F.col("from").alias("n"), F.col("to").alias("m"))
+        if not any(plan.labels) and not plan.optional and plan.page.limit is not None and plan.page.limit <= PAGE_ROWS:
+            return self._few(self._page(self._both(e.select("n", "r", "m"), plan), plan.page, "n", "r", "m"))
         ends = self.nodes.select("id", "labels")
         for column, label in (("n", plan.labels[0]), ("m", plan.labels[1])):
             # a missing endpoint is an error, raised in the row that has it
@@ -520,15 +527,31 @@ class Graph:
             e = e.join(side, column, "left")
             there = F.when(F.col("_there"), F.col(column)).otherwise(F.raise_error(F.lit("REFERENTIAL_INTEGRITY_VIOLATION: missing edge endpoint")).cast("string"))
             e = (e.filter(F.coalesce("_ok", F.col("_there").isNull())) if label else e).withColumn(column, there).drop("_there", "_ok")
-        rows = e.select("n", "r", "m")
-        if not plan.directed:
-            rows = rows.withColumn("x", F.explode(F.array(F.struct("n", "r", "m"), F.struct(F.col("m").alias("n"), "r", F.col("n").alias("m"))))).select("x.*")
+        rows = self._both(e.select("n", "r", "m"), plan)
         if plan.optional:
             matched = rows.select(F.col("n").alias("id")).distinct()
             alone = self.nodes.select("id").join(matched, "id", "left_anti")
             rows = rows.unionByName(alone.select(F.col("id").alias("n"), F.lit("NULL").alias("r"), F.lit("NULL").alias("m")))
         return self._page(rows, plan.page, "n", "r", "m")
 
+    @staticmethod
+    def _both(rows: DataFrame, plan: Relation) -> DataFrame:
+        """Rows in both directions, if the pattern has none."""
+        if plan.directed:
+            return rows
+        return rows.withColumn("x", F.explode(F.array(F.struct("n", "r", "m"), F.struct(F.col("m").alias("n"), "r", F.col("n").alias("m"))))).select("x.*")
+
+    def _few(self, rows: DataFrame) -> DataFrame:
+        """At most ``PAGE_ROWS`` rows in order; a missing endpoint among them is an error. The nodes are not shuffled."""
+        rows = checkpoint(rows)
+        ids = rows.select(F.explode(F.array("n", "m")).alias("id")).distinct()
+        known = self.nodes.select("id").join(F.broadcast(ids), "id", "left_semi").distinct()
+        for column in ("n", "m"):
+            rows = rows.join(F.broadcast(known.select(F.col("id").alias(column), F.lit(True).alias("_there"))), column, "left")
+            there = F.when(F.col("_there"), F.col(column)).otherwise(F.raise_error(F.lit("REFERENTIAL_INTEGRITY_VIOLATION: missing edge endpoint")).cast("string"))
+            rows = rows.withColumn(column, there).drop("_there")
+        return rows.select("n", "r", "m").orderBy("n", "r", "m")
+
     def _unwind(self, plan: Unwind) -> DataFrame:
         one = self.spark.range(1)
         if plan.function in ("count", "collect"):

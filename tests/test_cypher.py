@@ -128,3 +128,14 @@ def test_weights(spark):
     df = spark.range(1).select(F.create_map(F.lit("a"), tagged(2), F.lit("b"), tagged("x")).alias("p"))
     assert tuple(df.select(*[number(F.col("p"), k) for k in ("a", "b", "c")]).first()) == (2.0, 0.0, 0.0)
     assert GRAPH_EDGES.count("string") >= 4
+
+
+def test_page_is_taken_before_its_ends_are_checked(spark):
+    nodes = spark.createDataFrame([("a", ["A"]), ("b", ["B"])], "id string, labels array<string>").withColumn("properties", F.from_json(F.lit("{}"), GRAPH_NODES.split("properties ")[1]))
+    edges = spark.createDataFrame([("e1", "a", "b", "T"), ("e2", "b", "a", "T"), ("e3", "c", "a", "T")], "id string, from string, to string, edge_type string").withColumn("properties", F.from_json(F.lit("{}"), GRAPH_NODES.split("properties ")[1]))
+    graph = Graph(nodes, edges)
+    got = graph.query("MATCH (n)-[r]->(m) RETURN n,r,m ORDER BY n.id LIMIT 2").df.collect()
+    assert [tuple(r) for r in got] == [("a", "e1", "b"), ("b", "e2", "a")]
+    for text in ("MATCH (n)-[r]->(m) RETURN n,r,m ORDER BY n.id LIMIT 3", "MATCH (n)-[r]->(m) RETURN n,r,m", "MATCH (n)-[r]->(m:A) RETURN n,r,m"):
+        with pytest.raises(Exception, match="REFERENTIAL_INTEGRITY_VIOLATION"):
+            graph.query(text).df.collect()
