@@ -47,11 +47,13 @@ SPREAD_BYTES = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """An input of few bytes in two partitions per core, for work that is heavy per row; others pass unchanged.
+    """An input of few bytes and files in two partitions per core, for work that is heavy per row; others pass unchanged.
 
-    The plan's estimate decides, from file sizes: nothing is run for it.
+    The files and the plan's estimate decide: nothing is run for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if size < cores * SPREAD_BYTES else df
 
