@@ -52,7 +52,7 @@ def spread(df: DataFrame) -> DataFrame:
     The files and the plan's estimate decide: nothing is run for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if len(df._jdf.inputFiles()) >= cores:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if size < cores * SPREAD_BYTES else df
