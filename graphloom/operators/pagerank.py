@@ -80,7 +80,7 @@ def teleport(nodes: DataFrame, seeds: dict[str, float]) -> DataFrame:
     found = nodes.join(F.broadcast(given), "node").select("id", "score").collect() if seeds else []  # at most MAX_SEEDS rows
     total = sum(r["score"] for r in found)
     if total > 0:
-        return spark.createDataFrame([(r["id"], r["score"] / total) for r in found], "id bigint, score double")
+        return spark.createDataFrame([(r["id"], r["score"] / total) for r in found], "id bigint, score double").coalesce(1)
     n = nodes.count()
     return nodes.select("id", F.lit(1.0 / n if n else 0.0).alias("score"))
 
